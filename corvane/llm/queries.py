@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corvane.llm import consensus, mixing, neardup, packing, spans, splitting
+from corvane.llm import consensus, mixing, neardup, packing, scans, similar, spans, splitting
 from corvane.session import table
 
 QUERIES: dict = {}
@@ -124,3 +124,23 @@ def p4_found(spark, d):
 @query()
 def p4_representatives(spark, d):
     return consensus.best_representatives(table(spark, d, "files"))
+
+
+@query()
+def p5_found(spark, d):
+    return scans.scan_noise(table(spark, d, "documents"))
+
+
+@query()
+def p5_repaired(spark, d):
+    return scans.repair_scans(table(spark, d, "documents"))
+
+
+@query()
+def p1_found(spark, d):
+    return similar.similar_pairs(similar.similar_vectors(table(spark, d, "vectors")))
+
+
+@query()
+def p1_neighbours(spark, d):
+    return similar.similar_vectors(table(spark, d, "vectors")).withColumn("cosine", F.round("cosine", 6))
