@@ -294,7 +294,7 @@ def shared_pairs(found: SharedSpans) -> DataFrame:
     many = m.groupBy("rep").agg(F.count("*").alias("c")).where("c > 1").select("rep")
     inside = m.join(many, "rep").select("rep", F.col("doc_id").alias("x")).join(m.select("rep", F.col("doc_id").alias("y")), "rep").where("x < y")
     pick = [F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b")]
-    return across.select(*pick).unionByName(inside.select(*pick))
+    return across.select(*pick).unionByName(inside.select(*pick)).distinct()
 
 
 def shared_share(found: SharedSpans) -> DataFrame:

@@ -146,13 +146,13 @@ def _cut_ok(flat: str, piece: str) -> bool:
 
 
 def _audit(limit: int, low: int, high: int):
-    """Batches of (file_id, idx, text, prev, flat) to rows with their faults."""
+    """Batches of (file_id, idx, text, prev, flat, absent) to rows with their faults."""
 
     def run(batches):
         for b in batches:
-            file_id, idx, text, prev, flat = (b.column(i).to_pylist() for i in range(5))
+            text, prev, flat, absent = (b.column(i).to_pylist() for i in range(2, 6))
             over = [len(t) > limit for t in text]
-            word = [f is not None and not _cut_ok(f, t) for t, f in zip(text, flat)]
+            word = [None if a else f is not None and not _cut_ok(f, t) for t, f, a in zip(text, flat, absent)]
             lap = [p is not None and not low <= longest_overlap(p, t, low, high) <= high for t, p in zip(text, prev)]
             h = pd.util.hash_array(np.array(text, dtype=object), categorize=False).view(np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -180,8 +180,8 @@ def audit_pieces(pieces: DataFrame, documents: DataFrame, limit: int = 800, low:
 
     ``pieces``: file_id, idx, text; ``documents``: id, text; other columns are ignored.
     A piece that does not occur in its document, or has no document, has no word
-    fault; if it occurs several times or its file was indexed twice, one right
-    place is enough. Conflicting texts of one idx are judged together. Rows with a
+    fault; if it occurs several times, or in both texts of a file indexed twice, one
+    right place is enough. Conflicting texts of one idx are judged together. Rows with a
     null key are ignored; a null text counts as empty. Previous pieces are found
     in blocks of 64 numbers, so a file with very many pieces is spread over tasks.
     """
@@ -194,9 +194,9 @@ def audit_pieces(pieces: DataFrame, documents: DataFrame, limit: int = 800, low:
     right_ok = (pos == 0) | F.substring(F.col("flat"), pos + size, F.lit(1)).isin("", " ")
     # Only pieces whose first occurrence is cut inside a word carry their document on.
     doubtful = F.when(~(left_ok & right_ok), F.col("flat"))
-    judged = j.select("file_id", "idx", "text", "prev", doubtful.alias("flat")).mapInArrow(
+    judged = j.select("file_id", "idx", "text", "prev", doubtful.alias("flat"), F.coalesce(pos == 0, F.lit(True)).alias("absent")).mapInArrow(
         _audit(limit, low, high), "file_id string, idx int, h bigint, too_long boolean, in_word boolean, bad_overlap boolean")
-    one = judged.groupBy("file_id", "idx", "h").agg(F.max("too_long").alias("too_long"), F.min("in_word").alias("in_word"), F.max("bad_overlap").alias("bad_overlap"))
+    one = judged.groupBy("file_id", "idx", "h").agg(F.max("too_long").alias("too_long"), F.coalesce(F.min("in_word"), F.lit(False)).alias("in_word"), F.max("bad_overlap").alias("bad_overlap"))
     return one.groupBy("file_id", "idx").agg(*[F.max(c).alias(c) for c in ("too_long", "in_word", "bad_overlap")])
 
 
