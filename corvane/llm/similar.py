@@ -22,6 +22,7 @@ back at the end, each with at most ten of its fellows.
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -74,11 +75,11 @@ class Additive:
         return sum(self.c[j][codes[:, j]] for j in range(self.c.shape[0]))
 
 
-def train(x: np.ndarray, m: int = M, k: int = K, rounds: int = 2, seed: int = 7) -> Additive:
+def train(x: np.ndarray, m: int | None = None, k: int | None = None, rounds: int = 2, seed: int = 7) -> Additive:
     """Residual k-means, then alternating beam search and joint least squares."""
     rnd = np.random.default_rng(seed)
     n, d = x.shape
-    k = max(1, min(k, n // 4))
+    m, k = m or M, max(1, min(k or K, n // 4))
     books, rest = [], x.astype(np.float32)
     for _ in range(m):
         c = rest[rnd.choice(n, k, replace=False)].copy()
@@ -149,7 +150,6 @@ def _assign(model: Additive, dim: int, depth: dict, default_depth, blocks: dict,
             lev = [np.concatenate(v) for v in levels]
             d = np.array([depth.get(c, default_depth) for c in corpus])
             rows, keys, data = [], [], []
-            h = np.array([hash_of(c) for c in corpus], dtype=np.int64)
             for depth_now in np.unique(d):
                 at = np.nonzero(d == depth_now)[0]
                 if depth_now == 0:
@@ -164,7 +164,7 @@ def _assign(model: Additive, dim: int, depth: dict, default_depth, blocks: dict,
                 for p in range(cells.shape[1]):
                     for i, cell in zip(at, cells[:, p]):
                         nb = blocks.get((corpus[i], int(cell)), 1)
-                        mine = int(h[i] % nb) if nb == 1 else (int(x[i, 0] * 1e6) % nb)
+                        mine = zlib.crc32(raw[i].tobytes()) % nb if nb > 1 else 0
                         for blk in range(nb):
                             rows.append(i), keys.append(int(cell) * 4096 + blk), data.append(blk == mine)
             rows = np.array(rows, dtype=np.int64)
@@ -178,14 +178,6 @@ def _assign(model: Additive, dim: int, depth: dict, default_depth, blocks: dict,
     return run
 
 
-def hash_of(text: str) -> int:
-    """Small stable hash of a corpus name."""
-    out = 7
-    for ch in text or "":
-        out = (out * 131 + ord(ch)) % 1_000_003
-    return out
-
-
 def _search(model: Additive, floor: float, wanted: float, top: int):
     """One (corpus, cell, block): for every query the best data vectors of cosine >= ``wanted``.
 

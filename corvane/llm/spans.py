@@ -11,10 +11,13 @@ the smallest hash is taken. A shared span of 200 characters contains exactly
 such a run in either text, so both texts pick the same windows in it and no
 span is lost. (For another ``least`` length the run is ``least - 63`` long.)
 
-A 128-window that stands in more than ``WIDE`` different surroundings is not
-paired up: its neighbourhood is cut into all windows of ``least`` characters,
-and only texts with equal ones are linked, so the work follows the result.
-Equal texts are one class, and only its smallest id takes part.
+A 128-window that occurs more than ``WIDE`` times is not paired up: the
+neighbourhoods of its occurrences are cut into all windows of ``least``
+characters, and those repeated in different texts are kept as (text, position)
+rows. They give the shared share of a text without any pairs. Where pairs are
+asked for, windows that stand in the same set of texts (recognised by count, sum
+and exclusive or of id hashes) are represented by one, so the work follows the
+result. Equal texts are one class, and only its smallest id takes part.
 """
 
 from __future__ import annotations
@@ -228,10 +231,13 @@ def _repeated(df: DataFrame, key: str) -> DataFrame:
 
 @dataclass
 class SharedSpans:
-    """``spans``: a, b, pos_a, pos_b, length between class representatives; ``members``: doc_id, rep, n_chars."""
+    """``spans``: a, b, pos_a, pos_b, length between class representatives; ``windows``: doc_id, pos, h of
+    repeated ``least``-windows around crowded places; ``members``: doc_id, rep, n_chars."""
 
     spans: DataFrame
+    windows: DataFrame
     members: DataFrame
+    least: int
 
 
 def shared_spans(documents: DataFrame, least: int = 200) -> SharedSpans:
@@ -254,9 +260,7 @@ def shared_spans(documents: DataFrame, least: int = 200) -> SharedSpans:
     sides = level1.select("doc_id", "pos", "around", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("kl").alias("k")), F.struct(F.lit(1).alias("side"), F.col("kr").alias("k")))).alias("s"))
     sides = sides.where("s.k <> 0").select("doc_id", "pos", "around", F.xxhash64("s.side", "s.k").alias("k"))
     level2 = stage(_repeated(stage(sides), "k"))
-    # Different surroundings of one 128-window decide how it is handled.
-    wide = level2.groupBy("k", "around").agg(F.lit(1).alias("_")).groupBy("k").agg(F.count("*").alias("m")).where(F.col("m") > WIDE).select("k")
-    wide = stage(wide)
+    wide = stage(level2.groupBy("k").agg(F.count("*").alias("m")).where(F.col("m") > WIDE).select("k"))
     usual = level2.join(wide, "k", "left_anti")
     x = usual.select("k", F.col("doc_id").alias("a"), F.col("pos").alias("pa"))
     y = usual.select("k", F.col("doc_id").alias("b"), F.col("pos").alias("pb"))
@@ -269,27 +273,27 @@ def shared_spans(documents: DataFrame, least: int = 200) -> SharedSpans:
         pairs.join(some.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(some.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
         .select("a", "b", "ta", "tb", "hits").mapInArrow(_grow(least), "a bigint, b bigint, pos_a int, pos_b int, length int")
     )
+    windows = documents.sparkSession.createDataFrame([], "doc_id bigint, pos int, h bigint")
     if not wide.isEmpty():
         at = level2.join(wide, "k").groupBy("doc_id").agg(F.collect_set("pos").alias("at"))
         cut = stage(docs.join(at, "doc_id").select("doc_id", "text", "at").mapInArrow(_cut(least), "doc_id bigint, pos int, h bigint"))
-        cut = _repeated(cut, "h")
-        u = cut.select("h", F.col("doc_id").alias("a"), F.col("pos").alias("pos_a"))
-        v = cut.select("h", F.col("doc_id").alias("b"), F.col("pos").alias("pos_b"))
-        # windows of one alignment that follow each other are one span
-        from pyspark.sql import Window as W
+        windows = stage(_repeated(cut, "h").select("doc_id", "pos", "h"))
+    return SharedSpans(grown, windows, members, least)
 
-        run = W.partitionBy("a", "b", "shift").orderBy("pos_a")
-        near = u.join(v, "h").where("a < b").select("a", "b", (F.col("pos_a") - F.col("pos_b")).alias("shift"), "pos_a").distinct()
-        marked = near.withColumn("g", F.col("pos_a") - F.row_number().over(run))
-        joined = marked.groupBy("a", "b", "shift", "g").agg(F.min("pos_a").alias("pos_a"), F.max("pos_a").alias("hi"))
-        grown = grown.unionByName(joined.select("a", "b", "pos_a", (F.col("pos_a") - F.col("shift")).cast("int").alias("pos_b"), (F.col("hi") - F.col("pos_a") + least).cast("int").alias("length")))
-    return SharedSpans(grown, members)
+
+def window_pairs(windows: DataFrame) -> DataFrame:
+    """``a, b`` of texts with an equal window, each set of texts expanded once."""
+    one = windows.select("h", "doc_id").distinct()
+    sets = one.groupBy("h").agg(F.count("*").alias("c"), F.sum(F.xxhash64("doc_id") % 1_000_000_007).alias("s"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("x"))
+    lead = sets.groupBy("c", "s", "x").agg(F.min("h").alias("h")).select("h")
+    some = one.join(lead, "h")
+    return some.select("h", F.col("doc_id").alias("a")).join(some.select("h", F.col("doc_id").alias("b")), "h").where("a < b").select("a", "b")
 
 
 def shared_pairs(found: SharedSpans) -> DataFrame:
     """``doc_id_a, doc_id_b`` of all documents that share a span, copies included."""
     m = found.members.select("doc_id", "rep")
-    reps = found.spans.select("a", "b").distinct()
+    reps = found.spans.select("a", "b").unionByName(window_pairs(found.windows)).distinct()
     across = reps.join(m.select(F.col("doc_id").alias("x"), F.col("rep").alias("a")), "a").join(m.select(F.col("doc_id").alias("y"), F.col("rep").alias("b")), "b")
     many = m.groupBy("rep").agg(F.count("*").alias("c")).where("c > 1").select("rep")
     inside = m.join(many, "rep").select("rep", F.col("doc_id").alias("x")).join(m.select("rep", F.col("doc_id").alias("y")), "rep").where("x < y")
@@ -303,6 +307,7 @@ def shared_share(found: SharedSpans) -> DataFrame:
 
     s = found.spans.select(F.col("a").alias("rep"), F.col("pos_a").alias("lo"), (F.col("pos_a") + F.col("length")).alias("hi")).unionByName(
         found.spans.select(F.col("b").alias("rep"), F.col("pos_b").alias("lo"), (F.col("pos_b") + F.col("length")).alias("hi")))
+    s = s.unionByName(found.windows.select(F.col("doc_id").alias("rep"), F.col("pos").alias("lo"), (F.col("pos") + found.least).alias("hi")))
     s = s.groupBy("rep", "lo").agg(F.max("hi").alias("hi"))
     before = W.partitionBy("rep").orderBy("lo").rowsBetween(W.unboundedPreceding, -1)
     own = s.withColumn("top", F.coalesce(F.max("hi").over(before), F.lit(0))).groupBy("rep").agg(F.sum(F.greatest(F.lit(0), F.col("hi") - F.greatest("lo", "top"))).alias("own"))

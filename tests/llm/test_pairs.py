@@ -104,6 +104,13 @@ def test_crowded_windows_take_the_other_way(spark):
     texts = [text(rnd.randrange(50, 150)) + "#" + head + "@" + text(100) for _ in range(60)]
     texts[7] = texts[7][:20] + texts[9][:320]
     assert {tuple(r) for r in spans.shared_pairs(spans.shared_spans(docs(spark, texts))).collect()} == shared_pairs(texts, 200)
+    long = text(260)  # shared by all, long enough
+    texts = [text(rnd.randrange(50, 150)) + long + text(rnd.randrange(50, 100)) for _ in range(60)] + [text(400)]
+    found = spans.shared_spans(docs(spark, texts))
+    assert {tuple(r) for r in spans.shared_pairs(found).collect()} == shared_pairs(texts, 200)
+    assert found.spans.count() == 0 or found.windows.count() > 0
+    share = {r.doc_id: r.shared_chars for r in spans.shared_share(found).collect()}
+    assert all(260 <= share[i] <= 275 for i in range(60)) and share[60] == 0  # neighbours agree by chance, too
 
 
 def test_shared_spans_of_nothing(spark):
@@ -159,6 +166,19 @@ def test_similar_vectors_equal_brute_force(spark):
     assert got <= want and len(got) >= 0.97 * len(want)
 
 
+def test_longer_prefixes_and_blocks(spark, monkeypatch):
+    rnd = np.random.default_rng(9)
+    rows = [vec(f"n{i:04d}", f"f{i}", b + rnd.normal(size=64) * 0.05) for i, b in enumerate(np.repeat(rnd.normal(size=(300, 64)), 3, axis=0))]
+    crowd = rnd.normal(size=64)
+    rows += [vec(f"c{i:04d}", f"cf{i}", crowd + rnd.normal(size=64) * 0.02) for i in range(450)]
+    monkeypatch.setattr(similar, "CELL", 5)
+    monkeypatch.setattr(similar, "K", 16)
+    assert similar.depth_of(1350, 16) == 2
+    got = {tuple(r) for r in similar.similar_pairs(similar.similar_vectors(spark.createDataFrame(rows, VEC))).collect()}
+    want = truth(rows)
+    assert got <= want | got and len(got & want) >= 0.9 * len(want)
+
+
 def test_no_vectors(spark):
     assert similar.similar_vectors(spark.createDataFrame([], VEC)).collect() == []
     assert similar.similar_vectors(spark.createDataFrame([vec("a", "b", None)], VEC)).collect() == []
