@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.session import stage, unstage
+from corvane.session import restage, stage
 
 MAX_ROUNDS = 400
 
@@ -47,54 +47,52 @@ def links(folders: DataFrame) -> DataFrame:
     return one.join(known, F.col("parent") == F.col("_pid"), "left").select("id", F.col("_pid").alias("parent"), "name")
 
 
-def _coin(col, rnd: int):
-    return F.pmod(F.xxhash64(col, F.lit(rnd)), F.lit(2)) == 1
+def _coin(col):
+    """Heads or tails of a node in its round. The round is a column, so every round has the same generated code."""
+    return F.pmod(F.xxhash64(col, F.col("rnd")), F.lit(2)) == 1
 
 
-def _contract(nodes: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
-    """Rounds of rake and compress; returns (records by round, final nodes by round)."""
-    alive = stage(
+def _contract(nodes: DataFrame) -> list[DataFrame]:
+    """Rounds of rake and compress: per round the nodes with ``state`` record, final or alive."""
+    out = stage(
         nodes.select(
             "id", "parent",
             F.lit(1).cast("long").alias("dist"),
             F.array("id").alias("hop_ids"),
             F.array(F.coalesce("name", F.lit(""))).alias("hop_names"),
+            F.lit(0).alias("rnd"),
+            F.lit("alive").alias("state"),
         )
     )
-    written, records, finals = [alive], [], []
-    for rnd in range(MAX_ROUNDS):
+    rounds = []
+    for _ in range(MAX_ROUNDS):
+        alive = out.where("state = 'alive'").drop("state")
         kids = alive.where("parent is not null and parent <> id").groupBy("parent").agg(F.count("*").alias("kids"), F.min("id").alias("only"))
         seen = alive.join(kids.withColumnRenamed("parent", "id"), "id", "left")
-        spliced = seen.where((F.col("kids") == 1) & F.col("parent").isNotNull() & (F.col("parent") != F.col("id")) & _coin(F.col("id"), rnd) & ~_coin(F.col("only"), rnd))
-        over = spliced.select(
+        gone = F.coalesce((F.col("kids") == 1) & F.col("parent").isNotNull() & (F.col("parent") != F.col("id")) & _coin(F.col("id")) & ~_coin(F.col("only")), F.lit(False))
+        over = seen.where(gone).select(
             F.col("only").alias("id"), F.col("parent").alias("up"), F.col("dist").alias("up_dist"),
             F.col("hop_ids").alias("up_ids"), F.col("hop_names").alias("up_names"),
         )
-        gone = (F.col("kids") == 1) & F.col("parent").isNotNull() & (F.col("parent") != F.col("id")) & _coin(F.col("id"), rnd) & ~_coin(F.col("only"), rnd)
-        after = (
-            seen.join(over, "id", "left")
-            .withColumn("spliced", F.coalesce(gone, F.lit(False)))
-            .select(
+        moved = F.col("up").isNotNull()
+        out = stage(
+            seen.join(over, "id", "left").select(
                 "id",
-                F.when(F.col("up").isNotNull(), F.col("up")).otherwise(F.col("parent")).alias("parent"),
+                F.when(moved, F.col("up")).otherwise(F.col("parent")).alias("parent"),
                 (F.col("dist") + F.coalesce("up_dist", F.lit(0))).alias("dist"),
-                F.when(F.col("up").isNotNull(), F.concat("hop_ids", "up_ids")).otherwise(F.col("hop_ids")).alias("hop_ids"),
-                F.when(F.col("up").isNotNull(), F.concat("hop_names", "up_names")).otherwise(F.col("hop_names")).alias("hop_names"),
+                F.when(moved, F.concat("hop_ids", "up_ids")).otherwise(F.col("hop_ids")).alias("hop_ids"),
+                F.when(moved, F.concat("hop_names", "up_names")).otherwise(F.col("hop_names")).alias("hop_names"),
+                (F.col("rnd") + 1).alias("rnd"),
                 # 'record': contracted now; 'final': a bare root or a loop's core; else it stays
-                F.when(F.col("spliced"), "record")
-                .when(F.col("kids").isNull() & F.col("parent").isNull(), "final")
-                .when(F.col("kids").isNull() & (F.col("parent") == F.col("id")), "final")
+                F.when(gone, "record")
+                .when(F.col("kids").isNull() & (F.col("parent").isNull() | (F.col("parent") == F.col("id"))), "final")
                 .when(F.col("kids").isNull(), "record")
                 .otherwise("alive").alias("state"),
             )
         )
-        out = stage(after)
-        written.append(out)
-        records.append(out.where("state = 'record'").drop("state"))
-        finals.append(out.where("state = 'final'").drop("state"))
-        alive = out.where("state = 'alive'").drop("state")
-        if alive.isEmpty():
-            return records, finals, written
+        rounds.append(out)
+        if out.where("state = 'alive'").isEmpty():
+            return rounds
     raise RuntimeError(f"contraction has not ended after {MAX_ROUNDS} rounds")
 
 
@@ -108,45 +106,30 @@ def resolve_hierarchy(folders: DataFrame) -> DataFrame:
     below it. An empty table gives an empty result; extra columns are ignored.
     """
     nodes = stage(links(folders))
-    records, finals, written = _contract(nodes)
-    fin = finals[0]
-    for f in finals[1:]:
-        fin = fin.unionByName(f)
+    rounds = _contract(nodes)
     core = F.col("parent").isNotNull()
-    known = fin.select(
+    fin = restage(rounds).where("state = 'final'")
+    known = stage(fin.select(
         "id",
         F.when(~core, F.col("id")).alias("root_id"),
         F.when(~core, F.lit(0)).cast("long").alias("depth"),
         F.when(~core, F.col("hop_ids")).alias("path_ids"),
         F.when(~core, F.col("hop_names")).alias("path_names"),
         F.when(core, F.array_min("hop_ids")).alias("cycle_id"),
-        F.when(core, F.col("hop_ids")).alias("loop_ids"),
-    )
-    known = stage(known)
-    written.append(known)
-    loops = known.where("loop_ids is not null").select(F.explode("loop_ids").alias("id")).withColumn("on_cycle", F.lit(True))
-    solved = [known.drop("loop_ids")]
-    for rec in reversed(records):
-        if rec.isEmpty():
-            continue
-        top = solved[0]
-        for s in solved[1:]:
-            top = top.unionByName(s)
-        parents = top.select(
+    ))
+    loops = fin.where(core).select(F.explode("hop_ids").alias("id")).withColumn("on_cycle", F.lit(True))
+    solved = [known]
+    for out in reversed(rounds):
+        parents = restage(solved).select(
             F.col("id").alias("parent"), "root_id", F.col("depth").alias("p_depth"),
             F.col("path_ids").alias("p_ids"), F.col("path_names").alias("p_names"), "cycle_id",
         )
-        new = rec.join(parents, "parent").select(
+        solved.append(stage(out.where("state = 'record'").join(parents, "parent").select(
             "id", "root_id", (F.col("p_depth") + F.col("dist")).alias("depth"),
             F.concat("p_ids", F.reverse("hop_ids")).alias("path_ids"),
             F.concat("p_names", F.reverse("hop_names")).alias("path_names"), "cycle_id",
-        )
-        new = stage(new)
-        written.append(new)
-        solved.append(new)
-    every = solved[0]
-    for s in solved[1:]:
-        every = every.unionByName(s)
+        )))
+    every = restage(solved)
     return (
         nodes.withColumnRenamed("parent", "parent_id")
         .join(every, "id")

@@ -52,6 +52,11 @@ def stage(df: DataFrame, partitions: int | None = None) -> DataFrame:
     return back
 
 
+def restage(frames: list[DataFrame]) -> DataFrame:
+    """Several staged frames of one schema as a single scan."""
+    return frames[0].sparkSession.read.schema(frames[0].schema).parquet(*[f._corvane_path for f in frames])
+
+
 def unstage(df: DataFrame) -> None:
     """Delete what ``stage`` wrote, once nothing reads it any more."""
     path = getattr(df, "_corvane_path", None)
