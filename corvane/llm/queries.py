@@ -47,7 +47,11 @@ def p2_links(spark, d):
     return neardup.link_counts(neardup.near_duplicates(_docs(spark, d))).select("doc_id", "links")
 
 
-@query()
+@query("""
+WITH t AS (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200),
+h AS (SELECT DISTINCT doc_id, hash(substr(text, i, 200)) AS h FROM t),
+r AS (SELECT h FROM h GROUP BY h HAVING count(*) > 1), k AS (SELECT * FROM h WHERE h IN (SELECT h FROM r))
+SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM k a JOIN k b ON a.h = b.h AND a.doc_id < b.doc_id""")
 def p10_found(spark, d):
     return spans.shared_pairs(spans.shared_spans(table(spark, d, "documents"), 200))
 
@@ -89,7 +93,17 @@ def p9_report(spark, d):
     return mixing.mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets")).report
 
 
-@query()
+@query(r"""
+WITH lim AS (SELECT max_size AS m, overlap_min AS lo, overlap_max AS hi FROM size_limits WHERE limit_name = 'piece'),
+p AS (SELECT DISTINCT file_id, idx, coalesce(text, '') AS text FROM chunks WHERE file_id IS NOT NULL AND idx IS NOT NULL),
+q AS (SELECT *, lag(text) OVER (PARTITION BY file_id ORDER BY idx) AS prev FROM p),
+d AS (SELECT id, trim(regexp_replace(text, '[\t\n\x0b\f\r \x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+', ' ', 'g')) AS t FROM documents WHERE id IS NOT NULL AND text IS NOT NULL),
+o AS (SELECT q.file_id, q.idx, t, unnest(list_filter(range(1, length(t) - length(text) + 2), lambda i: substr(t, i, length(text)) = text)) AS i, length(text) AS n FROM q JOIN d ON d.id = q.file_id WHERE contains(t, text)),
+e AS (SELECT file_id, idx, substr(t, 1, i - 1) AS l1, substr(t, i) AS r1, substr(t, 1, i + n - 1) AS l2, substr(t, i + n) AS r2 FROM o),
+w AS (SELECT file_id, idx, bool_and(coalesce((l1 <> '' AND NOT ends_with(l1, ' ') AND NOT starts_with(r1, ' ') AND length(regexp_extract(l1, '[^ ]*$')) + length(regexp_extract(r1, '^[^ ]*')) <= 80)
+   OR (r2 <> '' AND NOT ends_with(l2, ' ') AND NOT starts_with(r2, ' ') AND length(regexp_extract(l2, '[^ ]*$')) + length(regexp_extract(r2, '^[^ ]*')) <= 80), false)) AS bad FROM e GROUP BY ALL),
+v AS (SELECT file_id, idx, prev IS NOT NULL AND NOT coalesce(list_max(list_filter(range(1, least(length(prev), length(text)) + 1), lambda k: right(prev, k) = left(text, k))) BETWEEN lo AND hi, false) AS bad, length(text) > m AS long FROM q, lim)
+SELECT DISTINCT v.file_id, v.idx FROM v LEFT JOIN w ON w.file_id = v.file_id AND w.idx = v.idx WHERE v.long OR v.bad OR coalesce(w.bad, false)""".replace("\\\\", "\\"))
 def p6_found(spark, d):
     limit, low, high = _limit(spark, d, "piece")
     return splitting.faulty_pieces(splitting.audit_pieces(table(spark, d, "chunks"), table(spark, d, "documents"), limit, low, high))
@@ -136,7 +150,13 @@ def p5_repaired(spark, d):
     return scans.repair_scans(table(spark, d, "documents"))
 
 
-@query()
+@query("""
+WITH lat AS (SELECT * FROM vectors WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY indexed_at DESC NULLS LAST) = 1),
+u AS (SELECT id, coalesce(file_id, id) AS f, coalesce(corpus_key, 'user') AS c, embedding AS e FROM lat WHERE embedding_model = 'multi-embed-b' AND embedding_version = '3' AND dimension = 64 AND len(embedding) = 64
+  AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.e, b.e) AS s FROM u a JOIN u b ON a.c = b.c AND a.f <> b.f),
+t AS (SELECT a, b FROM s WHERE s >= 0.90 QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(s, 9) DESC, b) <= 5)
+SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM t""")
 def p1_found(spark, d):
     return similar.similar_pairs(similar.similar_vectors(table(spark, d, "vectors")))
 
