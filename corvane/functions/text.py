@@ -53,11 +53,14 @@ def collapse(c: Column | str) -> Column:
 
 def chunk(c: Column | str) -> Column:
     """Windows of 800 characters that overlap by 120, over the collapsed text; empty array for blank texts."""
-    t = collapse(c)
-    n = F.length(t)
     step = CHUNK - OVERLAP
-    last = F.greatest(F.lit(0), F.ceil((n - CHUNK) / F.lit(step)).cast("int"))
-    return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(t, i * step + 1, F.lit(CHUNK))))
+
+    def cut(t: Column) -> Column:
+        last = F.greatest(F.lit(0), F.ceil((F.length(t) - CHUNK) / F.lit(step)).cast("int"))
+        return F.when(F.length(t) == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(t, i * step + 1, F.lit(CHUNK))))
+
+    # Through a lambda variable the text is collapsed once, not once per chunk.
+    return F.get(F.transform(F.array(collapse(c)), cut), F.lit(0))
 
 
 def cap_text(c: Column | str) -> Column:

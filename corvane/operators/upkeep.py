@@ -170,25 +170,23 @@ def rate_limit_decisions(requests: DataFrame, limit: int = 30, window_ms: int =
     requests wait at least one second; only the first denial of a window is logged.
     Rows with null user or ts are ignored.
     """
-    import numpy as np
     import pandas as pd
 
     limit = min(1000, max(1, int(limit)))
     ok = requests.where("user is not null and ts is not null").select("user", "ts", "request_id")
 
-    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "request_id"], kind="stable")
-        ts = pdf["ts"].to_numpy()
-        n, i = len(ts), 0
-        start = np.zeros(n, np.int64)
-        while i < n:
-            j = int(np.searchsorted(ts, ts[i] + window_ms, side="left"))
-            start[i:j] = i
-            i = j
-        rank = np.arange(n) - start
-        allowed = rank < limit
-        retry = np.where(allowed, 0, np.maximum(1, -((ts - ts[start] - window_ms) // 1000)))
-        return pd.DataFrame({"user": pdf["user"].to_numpy(), "ts": ts, "request_id": pdf["request_id"].to_numpy(), "allowed": allowed, "retry_after": retry.astype(np.int64), "log_event": rank == limit})
-
-    s = rate_limit_sessions(ok, window_ms)
-    return s.groupBy("user", "session").applyInPandas(lambda pdf: decide(pdf), "user bigint, ts bigint, request_id bigint, allowed boolean, retry_after bigint, log_event boolean")
+    def decide(batches):
+        # Sessions follow each other sorted, so only the open window is carried on; no session is gathered.
+        at, reset, count = None, 0, 0
+        for pdf in batches:
+            allowed, retry, log = [], [], []
+            for user, session, ts in zip(pdf["user"].tolist(), pdf["session"].tolist(), pdf["ts"].tolist()):
+                if (user, session) != at or ts >= reset:
+                    at, reset, count = (user, session), ts + window_ms, 0
+                good = count < limit
+                allowed.append(good), retry.append(0 if good else max(1, -((ts - reset) // 1000))), log.append(count == limit)
+                count += 1
+            yield pd.DataFrame({"user": pdf["user"], "ts": pdf["ts"], "request_id": pdf["request_id"], "allowed": allowed, "retry_after": retry, "log_event": log})
+
+    s = rate_limit_sessions(ok, window_ms).repartition("user", "session").sortWithinPartitions("user", "session", "ts", "request_id")
+    return s.mapInPandas(decide, "user bigint, ts bigint, request_id bigint, allowed boolean, retry_after bigint, log_event boolean")
