@@ -444,6 +444,14 @@ def centroid_shortlist(spark, d):
     return semantic.shortlist(semantic.centroids(reps.join(first, "file_id", "left_semi"))).select("file_id", "other", F.round("similarity", 6).alias("similarity"))
 
 
+@query()
+def centroid_shortlist_all(spark, d):
+    """``centroid_shortlist`` without the reference's bound of 500 files."""
+    profiles = stage(semantic.centroids(semantic.representatives(_latest_vectors(spark, d))))
+    blocks = max(1, -(-profiles.count() // semantic.BLOCK))
+    return semantic.shortlist(profiles, blocks=blocks).select("file_id", "other", F.round("similarity", 6).alias("similarity"))
+
+
 @query()
 def semantic_duplicates(spark, d):
     return semantic.semantic_groups(_latest_vectors(spark, d), 0.9, None).select("component", "file_id", F.round("best_similarity", 6).alias("best"))
