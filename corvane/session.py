@@ -88,3 +88,19 @@ def bounded_rank(df: DataFrame, keys: list[str], order: list, name: str, salts:
     within = W.partitionBy(*keys, "_salt").orderBy(*order)
     ranked = salted.withColumn("_within", F.row_number().over(within) - 1)
     return ranked.join(shift, [*keys, "_salt"]).withColumn(name, F.col("_within") + F.col("_shift")).drop("_salt", "_within", "_shift")
+
+
+def hot_join(many: DataFrame, one: DataFrame, on: list[str], count: str, limit: int) -> DataFrame:
+    """Inner join of ``many`` with ``one`` (unique in ``on``), where ``count`` of ``one`` tells how many rows of ``many`` match it.
+
+    Keys with more than ``limit`` rows are at most rows / ``limit`` of them: they are
+    joined apart, by broadcast, so no task of the shuffle join gets more than
+    ``limit`` rows of one key. ``many`` should be staged, since it is read twice then.
+    """
+    hot = stage(one.where(F.col(count) > limit))
+    if hot.isEmpty():
+        unstage(hot)
+        return many.join(one, on)
+    apart = many.join(F.broadcast(hot), on)
+    rest = many.join(F.broadcast(hot.select(*on)), on, "left_anti").join(one.where(F.col(count) <= limit), on)
+    return apart.unionByName(rest.select(*apart.columns))
