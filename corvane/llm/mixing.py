@@ -1,16 +1,20 @@
 """Mixing sources to target weights (problem 9).
 
-The plan: every source gets its target share of the total size, at most
-``max_repeats`` times its own size. What capped sources cannot supply is spread
-over the others by temperature: their token shares are raised to an exponent,
-bisected so that the weights have the entropy of the target shares, then
-bisected further until no source exceeds its repetition limit. The plan only
-sees one row per source.
+The plan: a mixture's weights are source token shares raised to an exponent. From
+a target, the family is ``target^(1 - x) * tokens^x``, normalised: x = 0 is the
+target itself, x = 1 uses every source equally often. The exponent is bisected to
+the smallest x at which no source exceeds its repetition limit; a source that is
+over its limit even at x = 1 is held at the limit, and the rest of the total is
+mixed again over the others. Without target shares, ``temperature`` bisects the
+plain exponent ``tokens^x`` to a wanted entropy. The plan only sees one row per
+source.
 
 The realisation: a source's budget is a number of whole passes and a rest. Each
 pass is a permutation by hash. The rest is a prefix of one more permutation,
 found by blocks: block totals locate the block in which the budget ends, and
 only within blocks are running sums taken, so no source is summed in one task.
+What a source really got, and whether its limit kept it from its target, is read
+from this realisation.
 """
 
 from __future__ import annotations
@@ -62,31 +66,44 @@ class SourcePlan:
     max_repeats: int
     tokens: int
     budget: float
-    capped: bool
+    exponent: float  #: the bisected exponent of the source's last mixing round (1 for a source held at its limit)
+
+
+def towards_tokens(targets: dict[str, float], tokens: dict[str, int], x: float) -> dict[str, float]:
+    """Weights ``target^(1 - x) * tokens^x``, normalised; sources without target or tokens get none."""
+    log = {s: (1 - x) * math.log(targets[s]) + x * math.log(tokens[s]) for s in targets if targets[s] > 0 and tokens.get(s, 0) > 0}
+    top = max(log.values(), default=0.0)
+    raw = {s: math.exp(v - top) for s, v in log.items()}
+    whole = sum(raw.values()) or 1.0
+    return {s: raw.get(s, 0.0) / whole for s in targets}
 
 
 def plan_mixture(tokens: dict[str, int], targets: dict[str, tuple[float, int]], total: int) -> list[SourcePlan]:
-    """Budgets by source from their tokens, (target share, max repeats) and the total size."""
-    cap = {s: r * tokens.get(s, 0) for s, (_, r) in targets.items()}
-    want = {s: t * total for s, (t, _) in targets.items()}
-    short = {s for s in targets if cap[s] < want[s]}
-    budget = {s: min(cap[s], want[s]) for s in targets}
-    free = {s: tokens.get(s, 0) for s in targets if s not in short and cap[s] > want[s]}
-    rest = sum(want[s] - cap[s] for s in short)
-    while rest > 0.5 and free:
-        goal = [want[s] for s in free]
-        exponent = temperature(free, entropy([g / (sum(goal) or 1) for g in goal]))
-        fits = lambda x: all(budget[s] + rest * w <= cap[s] for s, w in tempered(free, x).items())  # noqa: E731, B023
-        if not fits(exponent):
-            # Towards 1 the extra follows the sources' own sizes, which repeats none of them more than another.
-            near = _bisect(0.0, 1.0, lambda x: not fits(exponent + (1 - exponent) * x))  # noqa: B023
-            exponent += (1 - exponent) * min(1.0, near + 1e-9)
-        give = {s: min(rest * w, cap[s] - budget[s]) for s, w in tempered(free, exponent).items()}
-        for s, g in give.items():
-            budget[s] += g
-        rest -= sum(give.values())
-        free = {s: n for s, n in free.items() if cap[s] - budget[s] > 0.5}
-    return [SourcePlan(s, t, r, tokens.get(s, 0), budget[s], s in short) for s, (t, r) in sorted(targets.items())]
+    """Budgets by source from their tokens, (target share, max repeats) and the total size.
+
+    Sources that can't reach their target are held at their limit; the others share
+    the rest of ``total`` by exponent. If all limits together are under ``total``,
+    every source is used to its limit.
+    """
+    cap = {s: max(0, r) * tokens.get(s, 0) for s, (_, r) in targets.items()}
+    budget = {s: float(cap[s]) for s in targets}
+    exponent = dict.fromkeys(targets, 1.0)
+    held = {s for s, (t, _) in targets.items() if cap[s] < t * total or t <= 0 or not cap[s]}
+    budget |= {s: 0.0 for s, (t, _) in targets.items() if t <= 0}
+    while free := {s: targets[s][0] for s in targets if s not in held}:
+        rest = max(0.0, total - sum(budget[s] for s in held))
+        over = lambda x: {s for s, w in towards_tokens(free, tokens, x).items() if w * rest > cap[s] * (1 + 1e-12)}  # noqa: E731, B023
+        if not over(0.0):
+            x = 0.0
+        elif not over(1.0):
+            x = 1.0 - _bisect(0.0, 1.0, lambda y: not over(1.0 - y))  # noqa: B023
+        else:
+            held |= over(1.0)
+            continue
+        for s, w in towards_tokens(free, tokens, x).items():
+            budget[s], exponent[s] = min(w * rest, float(cap[s])), x
+        break
+    return [SourcePlan(s, t, r, tokens.get(s, 0), budget[s], exponent[s]) for s, (t, r) in sorted(targets.items())]
 
 
 @dataclass
@@ -105,7 +122,9 @@ def mix_sources(documents: DataFrame, targets: DataFrame, total: int | None = No
     shares are ignored) has ``source, target_share, max_repeats``; a null limit
     counts as 1. ``total`` defaults to the byte tokens of all documents. Sources
     without documents get a budget of 0; documents of other or null sources are
-    not used. Actual shares in ``report`` are of the mixture's real size.
+    not used. In ``report``, ``used`` and ``actual_share`` are counted from the
+    mixture's documents, and ``capped`` says that every document of the source is
+    used as often as allowed and the source still lacks some of its target.
     """
     spark = documents.sparkSession
     doc = documents.select("doc_id", "source", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("size")).where("doc_id is not null")
@@ -118,8 +137,8 @@ def mix_sources(documents: DataFrame, targets: DataFrame, total: int | None = No
     rows = []
     for p in plan:
         passes = int(p.budget // p.tokens) if p.tokens else 0
-        rows.append((p.source, p.target_share, p.max_repeats, p.tokens, float(p.budget), p.capped, passes, float(p.budget - passes * p.tokens), max(1, stats.get(p.source, (0, 0))[1] // BLOCK_DOCS)))
-    plan_df = spark.createDataFrame(rows, "source string, target_share double, max_repeats int, tokens bigint, budget double, capped boolean, passes int, rest double, blocks int")
+        rows.append((p.source, p.target_share, p.max_repeats, p.tokens, float(p.budget), passes, float(p.budget - passes * p.tokens), max(1, stats.get(p.source, (0, 0))[1] // BLOCK_DOCS)))
+    plan_df = spark.createDataFrame(rows, "source string, target_share double, max_repeats int, tokens bigint, budget double, passes int, rest double, blocks int")
     order = F.xxhash64("doc_id", F.lit(seed))
     placed = doc.join(F.broadcast(plan_df.select("source", "passes", "rest", "blocks")), "source").withColumn("_o", order).withColumn("_b", F.pmod(F.shiftrightunsigned("_o", 20), F.col("blocks")))
     totals = placed.where("rest > 0").groupBy("source", "_b").agg(F.sum("size").alias("bt"))
@@ -132,8 +151,10 @@ def mix_sources(documents: DataFrame, targets: DataFrame, total: int | None = No
         .where("repeats > 0").select("doc_id", "source", "size", "repeats")
     )
     got = used.groupBy("source").agg(F.sum(F.col("size") * F.col("repeats")).alias("used"), F.max("repeats").alias("most"))
-    report = plan_df.join(got, "source", "left").select(
-        "source", "target_share", "max_repeats", "tokens", "capped", F.coalesce("used", F.lit(0)).alias("used"), F.coalesce("most", F.lit(0)).alias("most_repeats"))
+    report = plan_df.join(got, "source", "left").withColumn("used", F.coalesce("used", F.lit(0))).select(
+        "source", "target_share", "max_repeats", "tokens",
+        ((F.col("used") >= F.col("max_repeats") * F.col("tokens")) & (F.col("used") < F.col("target_share") * F.lit(total))).alias("capped"),
+        "used", F.coalesce("most", F.lit(0)).alias("most_repeats"))
     report = report.withColumn("actual_share", F.round(F.col("used") / F.greatest(F.lit(1), F.sum("used").over(W.partitionBy())), 6))
     return Mixture(used, report, plan)
 
@@ -144,5 +165,5 @@ def passes(mixture: Mixture, seed: int = 17) -> DataFrame:
 
 
 def capped_sources(mixture: Mixture) -> DataFrame:
-    """``source`` of every target that its repetition limit keeps below its share."""
+    """``source`` of every target that its repetition limit keeps below its share, by what it was really given."""
     return mixture.report.where("capped").select("source")

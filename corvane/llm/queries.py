@@ -93,6 +93,18 @@ def p9_report(spark, d):
     return mixing.mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets")).report
 
 
+@query("""WITH n AS (SELECT source, sum(strlen(text)) AS t FROM documents WHERE doc_id IS NOT NULL GROUP BY source)
+SELECT m.source, CAST(coalesce(n.t, 0) AS BIGINT) AS tokens, m.max_repeats * coalesce(n.t, 0) < m.target_share * (SELECT sum(t) FROM n) AS capped, true AS limit_kept, true AS share_met
+FROM mix_targets m LEFT JOIN n USING (source)""")
+def p9_audit(spark, d):
+    """Every source keeps its limit, and has its target within one text unless every text is used as often as allowed."""
+    docs = table(spark, d, "documents")
+    longest = docs.agg(F.coalesce(F.max(F.octet_length("text")), F.lit(0)).alias("longest"), F.sum(F.octet_length("text")).alias("whole"))
+    r = mixing.mix_sources(docs, table(spark, d, "mix_targets")).report.crossJoin(F.broadcast(longest))  # one row
+    return r.select("source", "tokens", "capped", (F.col("most_repeats") <= F.col("max_repeats")).alias("limit_kept"),
+                    (F.col("capped") | (F.col("used") >= F.col("target_share") * F.col("whole") - F.col("longest"))).alias("share_met"))
+
+
 @query(r"""
 WITH lim AS (SELECT max_size AS m, overlap_min AS lo, overlap_max AS hi FROM size_limits WHERE limit_name = 'piece'),
 p AS (SELECT DISTINCT file_id, idx, coalesce(text, '') AS text FROM chunks WHERE file_id IS NOT NULL AND idx IS NOT NULL),
@@ -150,17 +162,32 @@ def p5_repaired(spark, d):
     return scans.repair_scans(table(spark, d, "documents"))
 
 
-@query("""
+_P1 = """
 WITH lat AS (SELECT * FROM vectors WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY indexed_at DESC NULLS LAST) = 1),
 u AS (SELECT id, coalesce(file_id, id) AS f, coalesce(corpus_key, 'user') AS c, embedding AS e FROM lat WHERE embedding_model = 'multi-embed-b' AND embedding_version = '3' AND dimension = 64 AND len(embedding) = 64
   AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
-s AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.e, b.e) AS s FROM u a JOIN u b ON a.c = b.c AND a.f <> b.f),
+s AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.e, b.e) AS s FROM u a JOIN u b ON a.c = b.c AND a.f <> b.f)"""
+
+
+@query(_P1 + """,
 t AS (SELECT a, b FROM s WHERE s >= 0.90 QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(s, 9) DESC, b) <= 5)
 SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM t""")
 def p1_found(spark, d):
-    return similar.similar_pairs(similar.similar_vectors(table(spark, d, "vectors")))
+    return similar.similar_pairs(similar.similar_vectors(table(spark, d, "vectors"), wanted=0.90))
 
 
-@query()
+@query(_P1 + """
+SELECT a AS id, CAST(row_number() OVER (PARTITION BY a ORDER BY round(s, 7) DESC, b) AS INT) AS rank, round(s, 4) AS cosine FROM s QUALIFY rank <= 5""")
 def p1_neighbours(spark, d):
-    return similar.similar_vectors(table(spark, d, "vectors")).withColumn("cosine", F.round("cosine", 6))
+    return similar.similar_vectors(table(spark, d, "vectors")).select("id", "rank", F.round("cosine", 4).alias("cosine"))
+
+
+@query("""
+WITH lat AS (SELECT * FROM vectors WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY indexed_at DESC NULLS LAST) = 1)
+SELECT count(*) AS queries, true AS reached FROM lat WHERE embedding_model = 'multi-embed-b' AND embedding_version = '3' AND dimension = 64 AND len(embedding) = 64
+  AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+  AND CAST('0x' || substr(md5(id), 1, 4) AS INT) % 100 = 0""")
+def p1_recall(spark, d):
+    """Whether at least nine of ten true neighbours are found, for every hundredth vector, without a floor on the cosine."""
+    r = similar.recall(table(spark, d, "vectors"))
+    return r.select("queries", (F.col("recall") >= 0.9).alias("reached"))

@@ -61,6 +61,8 @@ def test_mixture_meets_shares_and_caps(spark):
     cap = {"a": 1, "b": 2, "c": 3}
     assert all(r.repeats <= cap[r.source] for r in used) and len({r.doc_id for r in used}) == len(used)
     assert {r.source for r in mixing.capped_sources(m).collect()} == {"c", "d"}
+    plan = mixing.capped_sources(m)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan and "xxhash64" in plan  # the answer is read from the realised permutation
     total = sum(len(t) for i, t, s in rows if t and i is not None)
     got = Counter()
     for r in used:
@@ -73,6 +75,18 @@ def test_mixture_meets_shares_and_caps(spark):
     assert mixing.passes(m).count() == sum(r.repeats for r in used)
 
 
+def test_exponent_of_the_whole_plan():
+    tokens = {"a": 1000, "b": 1000, "c": 10}
+    free = {p.source: p for p in mixing.plan_mixture(tokens, {"a": (0.6, 3), "b": (0.4, 3)}, 2000)}
+    assert free["a"].exponent == 0.0 and free["a"].budget == pytest.approx(1200) and free["b"].budget == pytest.approx(800)
+    # c is held at its limit; the target of 0.6 / 0.3 for the rest would take a beyond its limit, so the exponent moves towards equal use
+    held = {p.source: p for p in mixing.plan_mixture(tokens, {"a": (0.5, 1), "b": (0.25, 2), "c": (0.25, 4)}, 2000)}
+    assert held["c"].budget == 40 and 0 < held["a"].exponent < 1 and held["a"].budget == pytest.approx(1000)
+    assert held["a"].budget + held["b"].budget == pytest.approx(1960)
+    # all limits together are too small: everything is used to its limit
+    assert [p.budget for p in mixing.plan_mixture(tokens, {"a": (0.5, 1), "b": (0.5, 1)}, 9000)] == [1000, 1000]
+
+
 def test_temperature_meets_entropy():
     t = {"a": 1000, "b": 100, "c": 10}
     x = mixing.temperature(t, 1.0)

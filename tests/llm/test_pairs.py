@@ -1,8 +1,10 @@
 """Near-duplicates, shared spans and vector neighbours against brute force."""
 
 import random
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from corvane.llm import neardup, scans, similar, spans
@@ -161,7 +163,7 @@ def vectors(seed=2, n=60):
 
 def test_similar_vectors_equal_brute_force(spark):
     rows = vectors()
-    got = {tuple(r) for r in similar.similar_pairs(similar.similar_vectors(spark.createDataFrame(rows, VEC))).collect()}
+    got = {tuple(r) for r in similar.similar_pairs(similar.similar_vectors(spark.createDataFrame(rows, VEC), wanted=0.9)).collect()}
     want = truth(rows)
     assert got <= want and len(got) >= 0.97 * len(want)
 
@@ -173,10 +175,61 @@ def test_longer_prefixes_and_blocks(spark, monkeypatch):
     rows += [vec(f"c{i:04d}", f"cf{i}", crowd + rnd.normal(size=64) * 0.02) for i in range(450)]
     monkeypatch.setattr(similar, "CELL", 5)
     monkeypatch.setattr(similar, "K", 16)
-    assert similar.depth_of(1350, 16) == 2
-    got = {tuple(r) for r in similar.similar_pairs(similar.similar_vectors(spark.createDataFrame(rows, VEC))).collect()}
+    monkeypatch.setattr(similar, "BLOCK", 40)
+    assert similar.bits_of(1350) == 9  # longer than the paths of one book
+    got = {tuple(r) for r in similar.similar_pairs(similar.similar_vectors(spark.createDataFrame(rows, VEC), wanted=0.9)).collect()}
     want = truth(rows)
-    assert got <= want | got and len(got & want) >= 0.9 * len(want)
+    assert len(got & want) >= 0.9 * len(want)
+
+
+def test_the_largest_task_does_not_grow_with_near_copies(spark, monkeypatch):
+    monkeypatch.setattr(similar, "CELL", 100)
+    monkeypatch.setattr(similar, "BLOCK", 100)
+    largest = []
+    for n in (600, 1200):
+        rnd = np.random.default_rng(n)
+        crowd = rnd.normal(size=64)
+        v = spark.createDataFrame([vec(f"c{i:05d}", f"cf{i}", crowd + rnd.normal(size=64) * 0.001) for i in range(n)], VEC)
+        seen = []
+        real = similar._search
+
+        def count(model, wanted, top, real=real):
+            run = real(model, wanted, top)
+
+            def counted(t):
+                out = run(t)
+                # one marker row per group tells its size
+                return pa.concat_tables([out, pa.table({"a": [f"#{t.num_rows}"], "many": [False], "neighbour": ["x"], "nf": [0], "cosine": [0.0]}, schema=out.schema)])
+
+            return counted
+
+        monkeypatch.setattr(similar, "_search", count)
+        got = similar.similar_vectors(v, wanted=0.9).where("id like '#%'").collect()
+        monkeypatch.setattr(similar, "_search", real)
+        seen = [int(r.id[1:]) for r in got]
+        largest.append(max(seen))
+    assert max(largest) <= 4 * similar.BLOCK  # up to two blocks of queries and of data each
+
+
+def test_every_vector_has_its_neighbours_without_a_floor(spark):
+    rnd = np.random.default_rng(4)
+    rows = [vec(f"v{i:04d}", f"f{i // 3}", rnd.normal(size=64)) for i in range(150)] + [vec(f"e{i:02d}", f"g{i}", np.ones(64)) for i in range(30)]
+    v = spark.createDataFrame(rows, VEC)
+    got = similar.similar_vectors(v).collect()
+    assert Counter(r.id for r in got) == {r[0]: 5 for r in rows}
+    assert {(r.id, r.rank): r.cosine for r in got} == pytest.approx(lists(rows), abs=1e-6)
+    r = similar.recall(v, part=10).first()
+    assert r.queries > 5 and r.recall == 1.0
+
+
+def lists(rows, k=5):
+    out = {}
+    x = np.array([r[3] for r in rows])
+    x = x / np.linalg.norm(x, axis=1)[:, None]
+    for i, r in enumerate(rows):
+        near = sorted((-round(x[i] @ x[j], 7), s[0]) for j, s in enumerate(rows) if s[1] != r[1])[:k]
+        out |= {(r[0], n + 1): float(-c) for n, (c, _) in enumerate(near)}
+    return out
 
 
 def test_no_vectors(spark):
