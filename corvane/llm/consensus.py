@@ -2,22 +2,23 @@
 
 The kept file has the highest keep score. Its descriptive texts (``name``,
 ``semantic_summary``) are chosen field by field by token-level consensus: the
-distinct values of a group are aligned progressively, tokens vote per column with
-the weight of their files, and the existing value closest to the winning token
-sequence is emitted. Other fields keep the kept file's value; gaps are filled from
-the best-scored peer that has one.
-
-Alignment works on profiles, and merging two profiles is again an alignment, so a
-group is folded as a tree: at most ``FAN_IN`` values or profiles meet in one
-task, whatever the size of the group. A profile column keeps the tokens that
-can still win a majority (Misra-Gries counters), so profiles stay small.
+distinct values of a group are aligned progressively, tokens and gaps vote per
+column with the weight of their files, and the existing value closest to the
+heaviest entries of the columns is emitted. Other fields keep the kept file's
+value; gaps are filled from the best-scored peer that has one.
+
+Progressive alignment works on profiles, and merging two profiles is again an
+alignment, so a group is folded as a tree: about ``FAN_IN`` values or profiles
+meet in one task, whatever the size of the group. The folded profile only says
+which columns there are; every value is then aligned to it once more and the
+votes are counted exactly, by an aggregation over (group, column, token).
 """
 
 from __future__ import annotations
 
 import json
-from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
@@ -26,10 +27,13 @@ from pyspark.sql import functions as F
 
 from corvane.operators.changefeed import current_rows
 from corvane.operators.duplicates import keep_order, scored_files
-from corvane.session import stage
+from corvane.session import hot_join, stage
 
 FAN_IN = 32
-COUNTERS = 16
+GUIDE = 16  #: heaviest tokens by which a profile column is recognised in later alignments (votes are counted on all)
+SUBSTITUTE, GAP = 0.4, 0.3  #: costs of two different tokens in one column and of a token facing a gap; an agreement earns 1
+CELLS = 4_000_000  #: table size from which an alignment is halved first; the best score is the same either way
+HOT = 20_000  #: values from which a group is joined apart
 _TOKEN = regex.compile(r"[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s]")
 Column = dict  # token -> weight
 
@@ -39,126 +43,150 @@ def tokens_of(value: str) -> list[str]:
     return _TOKEN.findall(value)
 
 
-def _top(col: Column) -> str:
-    return max(col.items(), key=lambda kv: (kv[1], kv[0]))[0] if col else ""
-
-
-def _match(a: Column, b: Column) -> float:
-    small, large = (a, b) if len(a) < len(b) else (b, a)
-    return sum(min(w, large[t]) for t, w in small.items() if t in large)
+class _Scores:
+    """Expected gain of putting a column of one profile over a column of another, row by row."""
+
+    def __init__(self, p: list[Column], wp: float, q: list[Column], wq: float):
+        self.p, self.wp, self.wq = p, wp, wq
+        self.fp = np.array([sum(c.values()) / wp for c in p])
+        self.fq = np.array([sum(c.values()) / wq for c in q])
+        self.where: dict[str, list[tuple[int, float]]] = {}
+        for j, c in enumerate(q):
+            for t, w in c.items():
+                self.where.setdefault(t, []).append((j, w))
+
+    def row(self, i: int) -> np.ndarray:
+        f = self.fp[i]
+        out = -SUBSTITUTE * f * self.fq - GAP * (f * (1 - self.fq) + self.fq * (1 - f))
+        for t, w in self.p[i].items():
+            for j, v in self.where.get(t, ()):
+                out[j] += (1 + SUBSTITUTE) * w * v / (self.wp * self.wq)
+        return out
+
+
+def _sweep(s: _Scores, rows, lo: int, hi: int, back: bool, steps: np.ndarray | None = None) -> np.ndarray:
+    """Best scores of the given rows against every start of q[lo:hi] (every end, if ``back``)."""
+    fq = s.fq[lo:hi][::-1] if back else s.fq[lo:hi]
+    left = np.concatenate(([0.0], np.cumsum(GAP * fq)))
+    line = -left
+    for k, i in enumerate(rows):
+        v = s.row(i)[lo:hi]
+        diagonal, up = line[:-1] + (v[::-1] if back else v), line - GAP * s.fp[i]
+        best = up.copy()
+        best[1:] = np.maximum(up[1:], diagonal)
+        new = np.maximum.accumulate(best + left) - left
+        if steps is not None:
+            took = best >= new - 1e-12
+            steps[k, 0] = 1
+            steps[k, 1:] = np.where(took[1:], np.where(diagonal >= up[1:], 0, 1), 2)
+        line = new
+    return line
+
+
+def _matches(s: _Scores, a: int, b: int, lo: int, hi: int, out: list) -> None:
+    """Pairs (row, column) of the best global alignment of p[a:b] and q[lo:hi]."""
+    n, m = b - a, hi - lo
+    if not n or not m:
+        return
+    if n > 1 and n * m > CELLS:
+        mid = (a + b) // 2
+        cut = lo + int((_sweep(s, range(a, mid), lo, hi, False) + _sweep(s, range(b - 1, mid - 1, -1), lo, hi, True)[::-1]).argmax())
+        _matches(s, a, mid, lo, cut, out)
+        _matches(s, mid, b, cut, hi, out)
+        return
+    steps = np.zeros((n, m + 1), np.int8)
+    _sweep(s, range(a, b), lo, hi, False, steps)
+    i, j, found = n, m, []
+    while i and j:
+        step = steps[i - 1, j]
+        if step == 0:
+            found.append((a + i - 1, lo + j - 1))
+        i, j = i - (step != 2), j - (step != 1)
+    out += found[::-1]
+
+
+def matches(p: list[Column], wp: float, q: list[Column], wq: float) -> list[tuple[int, int]]:
+    """Columns of two profiles that belong together (global alignment of least expected disagreement)."""
+    head, short = 0, min(len(p), len(q))
+    while head < short and len(p[head]) == 1 and p[head].keys() == q[head].keys():
+        head += 1
+    out = [(i, i) for i in range(head)]
+    _matches(_Scores(p, wp, q, wq), head, len(p), head, len(q), out)
+    return out
 
 
 def _merge(a: Column, b: Column) -> Column:
     out = dict(a)
     for t, w in b.items():
         out[t] = out.get(t, 0.0) + w
-    if len(out) > COUNTERS:
-        cut = sorted(out.values(), reverse=True)[COUNTERS]
-        out = {t: w - cut for t, w in out.items() if w > cut}
-    return out
+    return out if len(out) <= GUIDE else dict(sorted(out.items(), key=lambda x: (-x[1], x[0]))[:GUIDE])
 
 
-def align(p: list[Column], q: list[Column]) -> list[Column]:
-    """Merge two profiles along their best alignment (global, gaps are free, matches weigh)."""
-    if not p or not q:
-        return p or q
-    # What both begin or end with needs no search.
-    head, tail, short = 0, 0, min(len(p), len(q))
-    while head < short and _top(p[head]) == _top(q[head]):
-        head += 1
-    while tail < short - head and _top(p[-1 - tail]) == _top(q[-1 - tail]):
-        tail += 1
-    if head or tail:
-        ends = lambda a, b: [_merge(x, y) for x, y in zip(a, b)]
-        inner = align(p[head : len(p) - tail], q[head : len(q) - tail])
-        return ends(p[:head], q[:head]) + inner + ends(p[len(p) - tail :], q[len(q) - tail :])
-    n, m = len(p), len(q)
-    pairs = []
-    if n * m > 1_000_000:
-        for blk in SequenceMatcher(None, [_top(c) for c in p], [_top(c) for c in q], autojunk=False).get_matching_blocks():
-            pairs += [(blk.a + i, blk.b + i) for i in range(blk.size)]
-    else:
-        best = [[0.0] * (m + 1) for _ in range(n + 1)]
-        for i in range(n - 1, -1, -1):
-            row, below = best[i], best[i + 1]
-            for j in range(m - 1, -1, -1):
-                s = _match(p[i], q[j])
-                row[j] = max(below[j], row[j + 1], below[j + 1] + s if s else 0.0)
-        i = j = 0
-        while i < n and j < m:
-            s = _match(p[i], q[j])
-            if s and best[i][j] == best[i + 1][j + 1] + s:
-                pairs.append((i, j))
-                i, j = i + 1, j + 1
-            elif best[i][j] == best[i + 1][j]:
-                i += 1
-            else:
-                j += 1
+def align(p: list[Column], wp: float, q: list[Column], wq: float) -> list[Column]:
+    """Merge two profiles along their best alignment; different tokens may share a column."""
     out, i, j = [], 0, 0
-    for a, b in [*pairs, (n, m)]:
+    for a, b in [*matches(p, wp, q, wq), (len(p), len(q))]:
         out += p[i:a] + q[j:b]
-        if a < n or b < m:
-            if a < n and b < m:
-                out.append(_merge(p[a], q[b]))
+        if a < len(p) and b < len(q):
+            out.append(_merge(p[a], q[b]))
         i, j = a + 1, b + 1
     return out
 
 
 def fold(profiles: list[tuple[list[Column], float]]) -> tuple[list[Column], float]:
-    """Progressive alignment, heaviest first; columns that fell under 1/64 of the weight are shed."""
+    """Progressive alignment, heaviest first.
+
+    Columns under 1/64 of the weight are left out: a column needs half of the whole
+    weight to win against its gap, so it stays in some part of the tree at least.
+    """
     profiles = sorted(profiles, key=lambda x: -x[1])
     out, total = profiles[0]
     for prof, w in profiles[1:]:
-        out, total = align(out, prof), total + w
+        out, total = align(out, total, prof, w), total + w
     return [c for c in out if sum(c.values()) * 64 >= total], total
 
 
-def winner(profile: list[Column], total: float) -> list[str]:
-    """The consensus: the heaviest token of every column that outweighs the gap."""
-    out = []
-    for col in profile:
-        t = _top(col)
-        if col and col[t] * 2 > total:
-            out.append(t)
+def placed(tokens: list[str], weight: float, profile: list[Column], total: float) -> list[str | None]:
+    """Per column of the profile the value's token, None for a gap."""
+    out: list[str | None] = [None] * len(profile)
+    for i, j in matches(profile, total, [{t: weight} for t in tokens], weight):
+        out[i] = tokens[j]
     return out
 
 
 def token_distance(a: list[str], b: list[str]) -> float:
-    """Edit distance on tokens divided by the longer length (long texts: 1 - ratio of matching blocks)."""
+    """Edit distance on tokens divided by the longer length."""
     size = max(len(a), len(b))
     if not size:
         return 0.0
-    while a and b and a[-1] == b[-1]:
-        a, b = a[:-1], b[:-1]
-    skip = 0
-    while skip < min(len(a), len(b)) and a[skip] == b[skip]:
-        skip += 1
-    a, b = a[skip:], b[skip:]
-    if len(a) * len(b) > 1_000_000:
-        return (1.0 - SequenceMatcher(None, a, b, autojunk=False).ratio()) * max(len(a), len(b)) / size
-    prev = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        cur = [i]
-        for j, y in enumerate(b, 1):
-            cur.append(min(prev[j] + 1, cur[j - 1] + 1, prev[j - 1] + (x != y)))
-        prev = cur
-    return prev[-1] / size
+    names = {t: i for i, t in enumerate(dict.fromkeys([*a, *b]))}
+    x, y = np.array([names[t] for t in a], np.int64), np.array([names[t] for t in b], np.int64)
+    step = np.arange(len(y) + 1)
+    line = step.copy()
+    for i, t in enumerate(x, 1):
+        best = line + 1
+        best[1:] = np.minimum(best[1:], line[:-1] + (y != t))
+        best[0] = i
+        line = np.minimum.accumulate(best - step) + step
+    return float(line[-1]) / size
 
 
 def consensus_values(votes: DataFrame) -> DataFrame:
     """``dup_key, field, value``: per (dup_key, field) the existing value closest to the consensus.
 
-    ``votes`` has ``dup_key, field, value, weight``; null values have no vote. Ties go to
-    the heavier, then the smaller value.
+    ``votes`` has ``dup_key, field, value, weight``; null values have no vote. In a column
+    the heaviest entry wins, a gap included; equal entries go to the one of the heavier
+    value, then the smaller value. Equally close values likewise.
     """
-    distinct = stage(votes.where("value is not null").groupBy("dup_key", "field", "value").agg(F.sum("weight").alias("weight")))
-    counts = distinct.groupBy("dup_key", "field").agg(F.count("*").alias("n"))
+    key = ["dup_key", "field"]
+    distinct = stage(votes.where("value is not null").groupBy(*key, "value").agg(F.sum("weight").alias("weight")))
+    counts = stage(distinct.groupBy(*key).agg(F.count("*").alias("n"), F.sum("weight").alias("whole")))
     # A field with one distinct value needs no vote.
     many = counts.where("n > 1")
     most = many.agg(F.max("n")).first()[0] or 0
-    voters = distinct.join(many, ["dup_key", "field"])
+    voters = stage(hot_join(distinct, many, key, "n", HOT))
     parts = F.ceil(F.col("n") / F.lit(FAN_IN / 2)).cast("bigint")
-    level = voters.select("dup_key", "field", F.pmod(F.xxhash64("value"), parts).alias("part"), "value", "weight", F.lit(None).cast("string").alias("profile"))
+    level = voters.select(*key, F.pmod(F.xxhash64("value"), parts).alias("part"), "value", "weight", F.lit(None).cast("string").alias("profile"))
 
     def combine(batches):
         for b in batches:
@@ -170,7 +198,7 @@ def consensus_values(votes: DataFrame) -> DataFrame:
 
     def folded(level: DataFrame) -> DataFrame:
         # About FAN_IN items meet in a part: the number of parts follows the number of values.
-        met = level.groupBy("dup_key", "field", "part").agg(F.sort_array(F.collect_list(F.struct("value", "weight", "profile"))).alias("items"))
+        met = level.groupBy(*key, "part").agg(F.sort_array(F.collect_list(F.struct("value", "weight", "profile"))).alias("items"))
         return met.mapInArrow(combine, "dup_key string, field string, part bigint, value string, weight double, profile string")
 
     left = -(-most * 2 // FAN_IN)
@@ -178,16 +206,33 @@ def consensus_values(votes: DataFrame) -> DataFrame:
     while left > 1:
         left = -(-left // FAN_IN)
         level = folded(level.withColumn("part", F.floor(F.col("part") / FAN_IN)))
-    top = level.select("dup_key", "field", F.col("weight").alias("total"), "profile")
+    top = stage(level.join(many.select(*key, "n"), key).select(*key, "profile", "n"))
+
+    def place(batches):
+        known: tuple[str, list[Column]] = ("", [])
+        for b in batches:
+            rows = []
+            for k, f, v, w, whole, text in zip(*(b.column(i).to_pylist() for i in range(6))):
+                if text != known[0]:
+                    known = (text, json.loads(text))
+                rows += [(k, f, i, t, w, v) for i, t in enumerate(placed(tokens_of(v), w, known[1], whole))]
+            cols = list(zip(*rows)) if rows else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.string(), pa.float64(), pa.string()))], ["dup_key", "field", "col", "token", "weight", "value"])
+
+    put = hot_join(voters.drop("n"), top, key, "n", HOT).select(*key, "value", "weight", "whole", "profile").mapInArrow(place, "dup_key string, field string, col int, token string, weight double, value string")
+    tally = put.groupBy(*key, "col", "token").agg(F.round(F.sum("weight"), 6).alias("w"), F.min(F.struct((-F.col("weight")).alias("w"), "value")).alias("lead"))
+    won = tally.groupBy(*key, "col").agg(F.min(F.struct((-F.col("w")).alias("w"), "lead", "token"))["token"].alias("token"))
+    said = won.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("token").isNotNull(), F.struct("col", "token")))), lambda s: s["token"]).alias("said"))
+    said = stage(many.select(*key, "n").join(said, key, "left").withColumn("said", F.coalesce("said", F.array().cast("array<string>"))))
 
     def distances(batches):
         for pdf in batches:
-            dist = [token_distance(tokens_of(v), winner(json.loads(p), t)) for v, p, t in zip(pdf["value"], pdf["profile"], pdf["total"])]
+            dist = [token_distance(tokens_of(v), list(s)) for v, s in zip(pdf["value"], pdf["said"])]
             yield pd.DataFrame({"dup_key": pdf["dup_key"], "field": pdf["field"], "value": pdf["value"], "weight": pdf["weight"], "dist": pd.Series(dist, dtype=float)})
 
-    judged = voters.join(top, ["dup_key", "field"]).select("dup_key", "field", "value", "weight", "total", "profile").mapInPandas(distances, "dup_key string, field string, value string, weight double, dist double")
-    chosen = judged.groupBy("dup_key", "field").agg(F.min_by("value", F.struct("dist", -F.col("weight"), "value")).alias("value"))
-    single = distinct.join(counts.where("n = 1").select("dup_key", "field"), ["dup_key", "field"]).select("dup_key", "field", "value")
+    judged = hot_join(voters.drop("n"), said, key, "n", HOT).select(*key, "value", "weight", "said").mapInPandas(distances, "dup_key string, field string, value string, weight double, dist double")
+    chosen = judged.groupBy(*key).agg(F.min_by("value", F.struct("dist", -F.col("weight"), "value")).alias("value"))
+    single = distinct.join(counts.where("n = 1").select(*key), key).select(*key, "value")
     return chosen.unionByName(single)
 
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corvane.llm import consensus, mixing, neardup, packing, scans, similar, spans, splitting
+from corvane.functions.catalog import millis
+from corvane.operators import duplicates
+from corvane.operators.changefeed import current_rows
 from corvane.session import table
 
 QUERIES: dict = {}
@@ -147,6 +150,27 @@ def p4_found(spark, d):
     return consensus.best_representatives(table(spark, d, "files")).select("keep_id")
 
 
+_ORDER = "score DESC, coalesce(c, 4611686018427387904), coalesce(m, 4611686018427387904), coalesce(name, ''), id"
+
+
+@query(_P4 + f""", f AS (SELECT dup_key, max(n) AS group_size, first(id ORDER BY {_ORDER}) AS keep_id, round(max(score), 6) AS keep_score,
+  {", ".join(f"first({x} ORDER BY {x} IS NULL, {_ORDER}) AS {x}" for x in ("mime_type", "size", "created_time", "folder_id", "category"))},
+  max(m) AS modified_ms, bool_or(coalesce(starred, false)) AS starred FROM s GROUP BY dup_key),
+t AS (SELECT dup_key, string_agg(t, ',' ORDER BY t) AS tags FROM (SELECT DISTINCT dup_key, unnest(tags) AS t FROM s) WHERE t IS NOT NULL GROUP BY dup_key),
+o AS (SELECT dup_key, count(DISTINCT name) AS names, count(DISTINCT semantic_summary) AS summaries FROM s GROUP BY dup_key)
+SELECT f.*, t.tags, names > 0 AS named, summaries > 0 AS summed FROM f JOIN o USING (dup_key) LEFT JOIN t USING (dup_key)""")
+def p4_fields(spark, d):
+    """Everything of a representative but the wording of its voted texts, which must be texts of the group."""
+    files = table(spark, d, "files")
+    r = consensus.best_representatives(files)
+    own = duplicates.scored_files(current_rows(files)).select("dup_key", F.explode(F.array(F.struct(F.lit("n").alias("f"), F.col("name").alias("v")), F.struct(F.lit("s").alias("f"), F.col("semantic_summary").alias("v")))).alias("o"))
+    hit = own.join(r.select("dup_key", "name", "semantic_summary"), "dup_key").groupBy("dup_key").agg(
+        F.coalesce(F.bool_or((F.col("o.f") == "n") & (F.col("o.v") == F.col("name"))), F.lit(False)).alias("named"), F.coalesce(F.bool_or((F.col("o.f") == "s") & (F.col("o.v") == F.col("semantic_summary"))), F.lit(False)).alias("summed"))
+    return r.join(hit, "dup_key").select(
+        "dup_key", "group_size", "keep_id", F.round("keep_score", 6).alias("keep_score"), "mime_type", "size", "created_time", "folder_id", "category", millis("modified_time").alias("modified_ms"), "starred",
+        F.when(F.size("tags") > 0, F.array_join("tags", ",")).alias("tags"), "named", "summed")
+
+
 @query()
 def p4_representatives(spark, d):
     return consensus.best_representatives(table(spark, d, "files"))

@@ -181,6 +181,45 @@ def test_consensus_of_a_large_group(spark):
     assert [r.value for r in consensus.consensus_values(votes).collect()] == [base]
 
 
+VOTES = "dup_key string, field string, value string, weight double"
+
+
+def test_tokens_compete_within_a_column(spark):
+    rows = [("k", "name", f"report {w} final", n) for w, n in (("colour", 4.0), ("color", 3.0), ("kolor", 3.0))]
+    rows += [("g", "name", v, 1.0) for v in ("a b c", "a x b c", "a y b c", "a x d c")]  # gap, x, y and x in the second column
+    assert {r.dup_key: r.value for r in consensus.consensus_values(spark.createDataFrame(rows, VOTES)).collect()} == {"k": "report colour final", "g": "a x b c"}
+    col = [[{"report": 7.0}, {"colour": 4.0, "color": 3.0}, {"final": 7.0}], [{"report": 3.0}, {"kolor": 3.0}, {"final": 3.0}]]
+    assert [len(c) for c in consensus.align(col[0], 7.0, col[1], 3.0)] == [1, 3, 1]
+
+
+def test_a_narrow_majority_among_many_tokens_wins(spark):
+    rows = [("k", "name", f"plan t{i} end", 1.0) for i in range(199)] + [("k", "name", "plan one end", 100.0), ("k", "name", "plan one end of it", 1.0), ("k", "name", "plan t7 end", 0.5)]
+    assert [r.value for r in consensus.consensus_values(spark.createDataFrame(rows, VOTES)).collect()] == ["plan one end"]
+
+
+def test_alignment_is_the_same_in_halves(monkeypatch):
+    rnd = random.Random(6)
+    base = [rnd.choice("abcdefgh") for _ in range(60)]
+    other = [t for t in base if rnd.random() > 0.2]
+    p, q = [{t: 1.0} for t in base], [{t: 1.0} for t in other]
+
+    def score(pairs):
+        s = consensus._Scores(p, 1.0, q, 1.0)
+        return sum(s.row(i)[j] for i, j in pairs) - consensus.GAP * (len(p) + len(q) - 2 * len(pairs))
+
+    whole = score(consensus.matches(p, 1.0, q, 1.0))
+    monkeypatch.setattr(consensus, "CELLS", 20)
+    assert score(consensus.matches(p, 1.0, q, 1.0)) == pytest.approx(whole)
+    # edit distance against the textbook recurrence
+    a, b = base[:25], other[5:40]
+    d = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        d, old = [i], d
+        for j, y in enumerate(b, 1):
+            d.append(min(old[j] + 1, d[-1] + 1, old[j - 1] + (x != y)))
+    assert consensus.token_distance(a, b) == d[-1] / len(b)
+
+
 def scan(pages):
     return "\n\n".join(f"[Page {n}]\n{p}" for n, p in pages)
 
