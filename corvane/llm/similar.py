@@ -59,6 +59,10 @@ class Additive:
 
     def encode(self, x: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, list[np.ndarray]]:
         """(codes n x M, per level the beam's prefixes n x beam x level, best first)."""
+        parts = [self._encode(x[lo : lo + 512], beam) for lo in range(0, max(1, len(x)), 512)]
+        return np.concatenate([c for c, _ in parts]), [np.concatenate(v) for v in zip(*(lev for _, lev in parts))]
+
+    def _encode(self, x: np.ndarray, beam: int) -> tuple[np.ndarray, list[np.ndarray]]:
         m, k, _ = self.c.shape
         n = len(x)
         dots = (x @ self.c.reshape(m * k, -1).T).reshape(n, m, k)
@@ -89,6 +93,11 @@ def _sums(group: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
     return np.stack([np.bincount(group, col, n) for col in x.T.astype(np.float64)], axis=1)
 
 
+def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    half = (c**2).sum(1) / 2
+    return np.concatenate([(half - x[lo : lo + 2048] @ c.T).argmin(1) for lo in range(0, len(x), 2048)])
+
+
 def train(x: np.ndarray, m: int | None = None, k: int | None = None, rounds: int = 2, seed: int = 7) -> Additive:
     """Residual k-means, then alternating beam search and joint least squares."""
     rnd = np.random.default_rng(seed)
@@ -98,11 +107,11 @@ def train(x: np.ndarray, m: int | None = None, k: int | None = None, rounds: int
     for _ in range(m):
         c = rest[rnd.choice(n, k, replace=False)].copy()
         for _ in range(6):
-            near = (rest @ c.T * -2 + (c**2).sum(1)).argmin(1)
+            near = _nearest(rest, c)
             total = _sums(near, rest, k)
             size = np.bincount(near, minlength=k)
             c = np.where(size[:, None] > 0, total / np.maximum(size, 1)[:, None], c).astype(np.float32)
-        near = (rest @ c.T * -2 + (c**2).sum(1)).argmin(1)
+        near = _nearest(rest, c)
         books.append(c)
         rest = rest - c[near]
     model = Additive(np.stack(books))
