@@ -50,6 +50,13 @@ def p2_links(spark, d):
     return neardup.link_counts(neardup.near_duplicates(_docs(spark, d))).select("doc_id", "links")
 
 
+@query(_p2_sql(5, 5, 0.8).replace("WITH", "WITH RECURSIVE", 1) + """, both AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
+r AS (SELECT a, b FROM both UNION SELECT r.a, both.b FROM r JOIN both ON r.b = both.a)
+SELECT n.doc_id, least(n.doc_id, coalesce(min(r.b), n.doc_id)) AS group_id FROM n LEFT JOIN r ON r.a = n.doc_id GROUP BY n.doc_id""")
+def p2_groups(spark, d):
+    return neardup.duplicate_groups(_docs(spark, d))
+
+
 @query("""
 WITH t AS (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200),
 h AS (SELECT DISTINCT doc_id, hash(substr(text, i, 200)) AS h FROM t),

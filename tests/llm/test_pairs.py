@@ -62,6 +62,45 @@ def test_near_duplicates_of_nothing_and_link_counts(spark):
     assert links == {**dict.fromkeys(range(41), 40), 41: 0}
 
 
+def test_candidates_of_alike_texts_grow_with_their_number(spark, monkeypatch):
+    rnd = random.Random(5)
+    base, compared, real = words(rnd, 120), [], neardup._verify
+
+    def count(low, pairs, k):
+        compared[-1] += pairs.count()
+        return real(low, pairs, k)
+
+    monkeypatch.setattr(neardup, "_verify", count)
+    for n in (300,):
+        texts = []
+        for i in range(n):
+            v = list(base)
+            v[rnd.randrange(len(v))] = f"x{i}"
+            texts.append(" ".join(v))
+        compared.append(0)
+        groups = neardup.duplicate_groups(docs(spark, texts)).collect()
+        assert len(groups) == n and {r.group_id for r in groups} == {0}
+        # one edge per band and text at most, of 44,850 pairs
+        assert compared[-1] <= neardup.BANDS * n
+
+
+def test_leaves_far_from_their_centre(spark):
+    """Texts that share boilerplate only, with planted near-copies among them: the loss is small and stated in the README."""
+    rnd = random.Random(8)
+    plate = words(rnd, 60)
+    texts = []
+    for i in range(120):
+        own = words(rnd, 45, 10**6)
+        texts.append(" ".join(plate + own))
+        if i < 40:
+            for j in range(3):
+                own[rnd.randrange(len(own))] = f"y{i}{j}"
+            texts.append(" ".join(plate + own))
+    want = jaccard_pairs(texts, 3, 20, 0.6)
+    got = {tuple(r) for r in neardup.expand_pairs(neardup.near_duplicates(docs(spark, texts), k=3, threshold=0.6, min_tokens=20)).collect()}
+    assert got <= want and len(got) >= 0.98 * len(want) and len(want) >= 40
+
+
 def test_densification_keeps_similarity():
     rnd = np.random.default_rng(0)
     a = rnd.integers(0, 2**63, 60).astype(np.uint64)
