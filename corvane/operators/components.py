@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.session import stage, unstage
+from corvane.session import hot_join, stage, unstage
 
 MAX_ROUNDS = 60
+HOT = 20_000
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -15,20 +16,32 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Each round a node takes the smallest label among its neighbours' labels, then
     the label of that label, so labels travel doubling distances. Labels are
-    pre-aggregated per node before their shuffle; every round is written to the
-    shared folder and the previous one deleted. Null ends and self-loops are
-    ignored; an empty table gives an empty result.
+    pre-aggregated per node before their shuffle. The edges of a hub carry salts, and
+    the hub's label is repeated for them, so no task gets more than about ``HOT``
+    edges of one node; a label that many nodes share is looked up once. Every round
+    is written to the shared folder and the previous one deleted. Null ends and
+    self-loops are ignored; an empty table gives an empty result.
     """
     e = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x is not null and y is not null and x <> y").distinct()
     e = stage(e.unionByName(e.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
-    labels = stage(e.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.first("x")).alias("label")))
+    start = stage(e.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.first("x")).alias("label"), F.ceil(F.count("*") / HOT).cast("int").alias("salts")))
+    hubs = stage(start.where("salts > 1").select(F.col("node").alias("y"), "salts"))  # at most one in HOT of the edges
+    if not hubs.isEmpty():
+        e = e.join(F.broadcast(hubs), "y", "left").withColumn("salt", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("x"), F.col("salts"))).cast("int")).drop("salts")
+    else:
+        e = e.withColumn("salt", F.lit(0))
+    labels = start
     for _ in range(MAX_ROUNDS):
-        near = e.join(labels.select(F.col("node").alias("y"), "label"), "y").groupBy(F.col("x").alias("node")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = step.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        new = stage(step.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("up", "label")).alias("label")))
+        known = labels.select(F.col("node").alias("y"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "label")
+        near = e.join(known, ["y", "salt"]).groupBy(F.col("x").alias("node")).agg(F.min("label").alias("near"))
+        step = stage(labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"), "salts"))
+        up = step.select(F.col("node").alias("label"), F.col("label").alias("up"))
+        shared = step.groupBy("label").agg(F.count("*").alias("c")).join(up, "label", "left")
+        shared = stage(shared.select("label", "c", F.least("label", F.coalesce("up", "label")).alias("up")))
+        new = stage(hot_join(step, shared, ["label"], "c", HOT).select("node", "old", F.col("up").alias("label"), "salts"))
         changed = not new.where("old <> label").isEmpty()
-        unstage(labels)
+        for old in (step, shared, labels):
+            unstage(old)
         labels = new
         if not changed:
             return labels.select("node", F.col("label").alias("component"))

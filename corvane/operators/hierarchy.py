@@ -9,9 +9,12 @@ loop shrinks to one node that is its own parent, the core that exposes the
 cycle. The recorded contractions are then reversed, latest round first: the
 parent of a record is always removed later, so it is known by then.
 
-All joins are on unique node ids, never on the parent, so a folder that holds
-a third of all children makes no hot partition; child counts are
-pre-aggregated before their shuffle.
+A folder may hold a third of all others. Child counts are pre-aggregated before
+their shuffle, and children of a folder with more than ``HOT`` of them carry a salt:
+whatever is looked up at the parent is repeated for its salts, so no task gets more
+than about ``HOT`` children of one folder. (A node never gains children by
+contraction, so the salts stay right.) Loops carry their smallest id only; where
+paths are not asked for, no row grows with the length of a chain or loop.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from pyspark.sql import functions as F
 from corvane.session import restage, stage
 
 MAX_ROUNDS = 400
+HOT = 20_000
 
 
 def first_parent(parents: str = "parent_ids"):
@@ -36,15 +40,24 @@ def links(folders: DataFrame) -> DataFrame:
     Repeated ids count once (smallest parent and name win if they differ); rows
     with a null id are left out, since nothing can refer to them.
     """
-    one = (
-        folders.select("id", first_parent().alias("parent"), "name")
-        .where(F.col("id").isNotNull())
-        .groupBy("id")
-        .agg(F.min(F.struct(F.col("parent"), F.col("name"))).alias("s"))
-        .select("id", "s.parent", "s.name")
-    )
-    known = one.select(F.col("id").alias("_pid"))
-    return one.join(known, F.col("parent") == F.col("_pid"), "left").select("id", F.col("_pid").alias("parent"), "name")
+    return _salted(_first_rows(folders)).select("id", "parent", "name")
+
+
+def _salted(nodes: DataFrame) -> DataFrame:
+    """Nodes with unknown parents set to null and ``salt``, ``salts``: the row's share of its parent and its own number of shares."""
+    nodes = stage(nodes)
+    kids = nodes.where("parent is not null").groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("kids"))
+    known = stage(nodes.select("id").join(kids, "id").select("id", F.ceil(F.col("kids") / HOT).cast("int").alias("salts")))
+    hot = stage(known.where("salts > 1"))  # at most one in HOT of all nodes
+    full = nodes.join(known, "id", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    if hot.isEmpty():
+        full = full.withColumn("salt", F.lit(0))
+    else:
+        shares = F.broadcast(hot.select(F.col("id").alias("parent"), F.col("salts").alias("_s")))
+        full = full.join(shares, "parent", "left").withColumn("salt", F.when(F.col("_s").isNull(), 0).otherwise(F.pmod(F.xxhash64("id"), F.col("_s"))).cast("int")).drop("_s")
+    there = known.select(F.col("id").alias("parent"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("_known"))
+    full = full.join(there, ["parent", "salt"], "left")
+    return full.withColumn("parent", F.when(F.col("_known"), F.col("parent"))).drop("_known")
 
 
 def _coin(col):
@@ -52,26 +65,28 @@ def _coin(col):
     return F.pmod(F.xxhash64(col, F.col("rnd")), F.lit(2)) == 1
 
 
-def _contract(nodes: DataFrame) -> list[DataFrame]:
+def _contract(nodes: DataFrame, paths: bool) -> list[DataFrame]:
     """Rounds of rake and compress: per round the nodes with ``state`` record, final or alive."""
+    none = F.lit(None).cast("array<string>")
     out = stage(
         nodes.select(
-            "id", "parent",
-            F.lit(1).cast("long").alias("dist"),
-            F.array("id").alias("hop_ids"),
-            F.array(F.coalesce("name", F.lit(""))).alias("hop_names"),
+            "id", "parent", "salt", "salts",
+            F.lit(1).cast("long").alias("dist"), F.col("id").alias("least"),
+            (F.array("id") if paths else none).alias("hop_ids"),
+            (F.array(F.coalesce("name", F.lit(""))) if paths else none).alias("hop_names"),
+            F.lit(None).cast("string").alias("heir"),
             F.lit(0).alias("rnd"),
             F.lit("alive").alias("state"),
         )
     )
     rounds = []
     for _ in range(MAX_ROUNDS):
-        alive = out.where("state = 'alive'").drop("state")
+        alive = out.where("state = 'alive'").drop("state", "heir")
         kids = alive.where("parent is not null and parent <> id").groupBy("parent").agg(F.count("*").alias("kids"), F.min("id").alias("only"))
         seen = alive.join(kids.withColumnRenamed("parent", "id"), "id", "left")
         gone = F.coalesce((F.col("kids") == 1) & F.col("parent").isNotNull() & (F.col("parent") != F.col("id")) & _coin(F.col("id")) & ~_coin(F.col("only")), F.lit(False))
         over = seen.where(gone).select(
-            F.col("only").alias("id"), F.col("parent").alias("up"), F.col("dist").alias("up_dist"),
+            F.col("only").alias("id"), F.col("parent").alias("up"), F.col("salt").alias("up_salt"), F.col("dist").alias("up_dist"), F.col("least").alias("up_least"),
             F.col("hop_ids").alias("up_ids"), F.col("hop_names").alias("up_names"),
         )
         moved = F.col("up").isNotNull()
@@ -79,9 +94,11 @@ def _contract(nodes: DataFrame) -> list[DataFrame]:
             seen.join(over, "id", "left").select(
                 "id",
                 F.when(moved, F.col("up")).otherwise(F.col("parent")).alias("parent"),
-                (F.col("dist") + F.coalesce("up_dist", F.lit(0))).alias("dist"),
+                F.when(moved, F.col("up_salt")).otherwise(F.col("salt")).alias("salt"), "salts",
+                (F.col("dist") + F.coalesce("up_dist", F.lit(0))).alias("dist"), F.least("least", "up_least").alias("least"),
                 F.when(moved, F.concat("hop_ids", "up_ids")).otherwise(F.col("hop_ids")).alias("hop_ids"),
                 F.when(moved, F.concat("hop_names", "up_names")).otherwise(F.col("hop_names")).alias("hop_names"),
+                F.when(gone, F.col("only")).alias("heir"),
                 (F.col("rnd") + 1).alias("rnd"),
                 # 'record': contracted now; 'final': a bare root or a loop's core; else it stays
                 F.when(gone, "record")
@@ -96,49 +113,54 @@ def _contract(nodes: DataFrame) -> list[DataFrame]:
     raise RuntimeError(f"contraction has not ended after {MAX_ROUNDS} rounds")
 
 
-def resolve_hierarchy(folders: DataFrame) -> DataFrame:
-    """``id, name, parent_id, root_id, depth, path, path_ids, cycle_id, on_cycle`` per folder.
-
-    ``path`` joins the names from the root down with `` / `` (null names count as
-    empty), ``path_ids`` lists the ids likewise, ``depth`` is 0 at roots. A folder
-    whose chain enters a loop has null root, depth and paths; its ``cycle_id`` is the
-    smallest id on the loop and ``on_cycle`` tells the loop's members from folders
-    below it. An empty table gives an empty result; extra columns are ignored.
-    """
-    nodes = stage(links(folders))
-    rounds = _contract(nodes)
+def _expand(rounds: list[DataFrame]) -> DataFrame:
+    """Reverse the contractions: ``id, root_id, depth, path_ids, path_names, cycle_id, on_cycle`` of every node."""
     core = F.col("parent").isNotNull()
-    fin = restage(rounds).where("state = 'final'")
-    known = stage(fin.select(
-        "id",
+    solved = [stage(restage(rounds).where("state = 'final'").select(
+        "id", "salts",
         F.when(~core, F.col("id")).alias("root_id"),
         F.when(~core, F.lit(0)).cast("long").alias("depth"),
         F.when(~core, F.col("hop_ids")).alias("path_ids"),
         F.when(~core, F.col("hop_names")).alias("path_names"),
-        F.when(core, F.array_min("hop_ids")).alias("cycle_id"),
-    ))
-    loops = fin.where(core).select(F.explode("hop_ids").alias("id")).withColumn("on_cycle", F.lit(True))
-    solved = [known]
+        F.when(core, F.col("least")).alias("cycle_id"), core.alias("on_cycle"),
+    ))]
     for out in reversed(rounds):
-        parents = restage(solved).select(
-            F.col("id").alias("parent"), "root_id", F.col("depth").alias("p_depth"),
+        known = restage(solved)
+        parents = known.select(
+            F.col("id").alias("parent"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "root_id", F.col("depth").alias("p_depth"),
             F.col("path_ids").alias("p_ids"), F.col("path_names").alias("p_names"), "cycle_id",
         )
-        solved.append(stage(out.where("state = 'record'").join(parents, "parent").select(
-            "id", "root_id", (F.col("p_depth") + F.col("dist")).alias("depth"),
+        # A spliced node stands between its heir and its parent, so it is on a loop if its heir is (each node is one node's heir at most).
+        heirs = known.where("on_cycle").select(F.col("id").alias("heir"), "on_cycle")
+        solved.append(stage(out.where("state = 'record'").join(parents, ["parent", "salt"]).join(heirs, "heir", "left").select(
+            "id", "salts", "root_id", (F.col("p_depth") + F.col("dist")).alias("depth"),
             F.concat("p_ids", F.reverse("hop_ids")).alias("path_ids"),
-            F.concat("p_names", F.reverse("hop_names")).alias("path_names"), "cycle_id",
+            F.concat("p_names", F.reverse("hop_names")).alias("path_names"), "cycle_id", F.coalesce("on_cycle", F.lit(False)).alias("on_cycle"),
         )))
-    every = restage(solved)
+    return restage(solved)
+
+
+def _first_rows(folders: DataFrame) -> DataFrame:
     return (
-        nodes.withColumnRenamed("parent", "parent_id")
-        .join(every, "id")
-        .join(loops, "id", "left")
-        .select(
-            "id", "name", "parent_id", "root_id", "depth",
-            F.array_join("path_names", " / ").alias("path"), "path_ids", "cycle_id",
-            F.coalesce("on_cycle", F.lit(False)).alias("on_cycle"),
-        )
+        folders.select("id", first_parent().alias("parent"), "name").where(F.col("id").isNotNull())
+        .groupBy("id").agg(F.min(F.struct(F.col("parent"), F.col("name"))).alias("s")).select("id", "s.parent", "s.name")
+    )
+
+
+def resolve_hierarchy(folders: DataFrame) -> DataFrame:
+    """``id, name, parent_id, root_id, depth, path, path_ids, cycle_id, on_cycle`` per folder.
+
+    ``path`` joins the names from the root down with `` / `` (null names count as
+    empty), ``path_ids`` lists the ids likewise, ``depth`` is 0 at roots. A folder
+    whose chain enters a loop has null root, depth and paths; its ``cycle_id`` is the
+    smallest id on the loop and ``on_cycle`` tells the loop's members from folders
+    below it. An empty table gives an empty result; extra columns are ignored.
+    """
+    nodes = stage(_salted(_first_rows(folders)))
+    return (
+        nodes.select("id", "name", F.col("parent").alias("parent_id"))
+        .join(_expand(_contract(nodes, True)), "id")
+        .select("id", "name", "parent_id", "root_id", "depth", F.array_join("path_names", " / ").alias("path"), "path_ids", "cycle_id", "on_cycle")
     )
 
 
@@ -146,6 +168,8 @@ def descendants(resolved: DataFrame) -> DataFrame:
     """``ancestor_id, descendant_id, distance`` for every pair on one branch.
 
     Rows, not arrays: a root above a third of all folders stays spread out.
+    Folders on or below a loop have neither ancestors nor descendants here: on a
+    loop everything is above everything.
     """
     return resolved.where("path_ids is not null").select(
         F.col("id").alias("descendant_id"), F.col("depth"), F.posexplode("path_ids").alias("at", "ancestor_id"),
@@ -154,4 +178,5 @@ def descendants(resolved: DataFrame) -> DataFrame:
 
 def cycles(folders: DataFrame) -> DataFrame:
     """``folder_id, cycle_id`` of every folder on or below a loop of first parents."""
-    return resolve_hierarchy(folders).where("cycle_id is not null").select(F.col("id").alias("folder_id"), "cycle_id")
+    nodes = stage(_salted(_first_rows(folders)))
+    return _expand(_contract(nodes, False)).where("cycle_id is not null").select(F.col("id").alias("folder_id"), "cycle_id")

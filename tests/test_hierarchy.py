@@ -1,5 +1,6 @@
 from pyspark.sql import Row
 
+from corvane.operators import components, hierarchy
 from corvane.operators.hierarchy import cycles, descendants, resolve_hierarchy
 
 SCHEMA = "id string, name string, parent_ids array<string>, root_id string, path string"
@@ -29,5 +30,30 @@ def test_deep_chain_and_star(spark):
     assert descendants(r).where("ancestor_id = 'n0000'").count() == n - 1 + 150
 
 
+def test_a_third_of_all_rows_under_one_parent(spark, monkeypatch):
+    """Salted parents and hubs give the same result; no task of the lookup gets more than about HOT of its children."""
+    monkeypatch.setattr(hierarchy, "HOT", 20)
+    monkeypatch.setattr(components, "HOT", 20)
+    rows = [("r", "R", None), ("h", "H", ["r"])] + [(f"k{i:03d}", "K", ["h"]) for i in range(120)] + [(f"g{i:03d}", "G", ["gone"]) for i in range(60)]
+    rows += [("x", "X", ["y"]), ("y", "Y", ["x"])] + [(f"c{i:03d}", "C", ["x"]) for i in range(70)]
+    f = frame(spark, rows)
+    got = {r.id: r for r in resolve_hierarchy(f).collect()}
+    assert len(got) == len(rows) and {r.path for i, r in got.items() if i[0] == "k"} == {"R / H / K"} and {r.depth for i, r in got.items() if i[0] == "g"} == {0}
+    assert {r.folder_id for r in cycles(f).collect()} == {i for i, *_ in rows if i[0] in "xyc"}
+    s = hierarchy._salted(hierarchy._first_rows(f))
+    assert s.groupBy("parent", "salt").count().where("parent is not null").agg({"count": "max"}).first()[0] < 45
+    comp = {r.node: r.component for r in components.connected_components(hierarchy.links(f).where("parent is not null").selectExpr("id as a", "parent as b")).collect()}
+    assert {comp[i] for i, *_ in rows if i[0] == "k"} == {"h"} and comp["y"] == "c000"
+
+
+def test_a_long_loop_carries_no_paths(spark):
+    n = 200
+    rows = [(f"n{i:03d}", "k", [f"n{(i + 1) % n:03d}"]) for i in range(n)]
+    f = frame(spark, rows)
+    assert {(r.folder_id, r.cycle_id) for r in cycles(f).collect()} == {(i, "n000") for i, *_ in rows}
+    nodes = hierarchy._salted(hierarchy._first_rows(f))
+    assert all(r.where("hop_ids is not null").isEmpty() for r in hierarchy._contract(nodes, False)[-1:])
+
+
 def test_empty(spark):
     assert cycles(frame(spark, [])).collect() == []
