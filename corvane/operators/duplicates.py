@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions.catalog import millis
+from corvane.session import sorted_rank
 
 # Fixed value: file names that look like copies (tested on the lower-cased whole name; ASCII word ends).
 COPY_NAME = r"(?<![a-z0-9_])(?:copy|duplicate|dup)(?![a-z0-9_])|\(copy(?: [0-9]+)?\)|\([0-9]+\)\z"
@@ -76,8 +77,7 @@ def duplicate_groups(files: DataFrame) -> DataFrame:
     """One row per group: ``dup_key, verification, file_count, total_size, reclaimable_size, keep_id, keep_score``.
 
     ``reclaimable_size`` is the total less the size of the smallest-id member (members
-    of one key nearly always have one size). Sorted use: verified first, reclaimable
-    descending.
+    of one key nearly always have one size). For their order see ``ordered_groups``.
     """
     return scored_files(files).groupBy("dup_key").agg(
         F.when(F.first("dup_key").startswith("sha256:"), "sha256").otherwise("candidate").alias("verification"),
@@ -85,3 +85,20 @@ def duplicate_groups(files: DataFrame) -> DataFrame:
         (F.max("total_size") - F.min_by(F.coalesce("size", F.lit(0)), F.col("id"))).alias("reclaimable_size"),
         F.min_by("id", keep_order()).alias("keep_id"), F.max("score").alias("keep_score"),
     )
+
+
+def ordered_groups(files: DataFrame) -> DataFrame:
+    """``duplicate_groups``, verified groups first, then the most reclaimable, then by key."""
+    return duplicate_groups(files).orderBy(F.when(F.col("verification") == "sha256", 0).otherwise(1), F.desc("reclaimable_size"), "dup_key")
+
+
+def group_members(files: DataFrame) -> DataFrame:
+    """``dup_key, position, id``: the kept file first (position 0), the others by modification (missing instants last), then id.
+
+    One row per member and ranks by sorted ranges: a group that holds a third of all files is not gathered anywhere.
+    """
+    scored = scored_files(files)
+    kept = scored.groupBy("dup_key").agg(F.min_by("id", keep_order()).alias("id")).withColumn("kept", F.lit(0))
+    rows = scored.select("dup_key", "id", F.coalesce(millis("modified_time"), F.lit(1 << 62)).alias("m")).join(kept, ["dup_key", "id"], "left").withColumn("kept", F.coalesce("kept", F.lit(1)))
+    rows = rows.withColumn("m", F.when(F.col("kept") == 0, F.lit(0)).otherwise(F.col("m")))
+    return sorted_rank(rows, ["dup_key"], [F.col("kept"), F.col("m"), F.col("id")], "position").select("dup_key", "position", "id")

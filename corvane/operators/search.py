@@ -18,6 +18,12 @@ from corvane.functions import vectors as V
 from corvane.functions.catalog import instant
 
 TOP = 200
+SMALL = 200_000  #: hit lists up to this many rows are broadcast, longer ones are joined by shuffle
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """A broadcast hint where a count shows the list to be small."""
+    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
 
 
 def current_documents(documents: DataFrame) -> DataFrame:
@@ -72,15 +78,17 @@ def bm25(docs: DataFrame, query: str, corpus: str | None = None, top: int | None
 
 def with_snippets(hits: DataFrame, docs: DataFrame) -> DataFrame:
     """Adds ``snippet``: the first 160 characters of each hit's best chunk."""
-    found = docs.join(F.broadcast(hits.select(F.col("file_id").alias("id"), "best_chunk_idx")), "id").select(
+    found = docs.join(_small(hits.select(F.col("file_id").alias("id"), "best_chunk_idx")), "id").select(
         F.col("id").alias("file_id"), F.trim(F.substring(F.coalesce(F.get(T.chunk("text"), F.col("best_chunk_idx")), F.lit("")), 1, 160)).alias("snippet"))
     return hits.join(found, "file_id", "left").withColumn("snippet", F.coalesce("snippet", F.lit("")))
 
 
 def category_filter(files: DataFrame, category: str | None) -> DataFrame:
-    """Coarse filter: everything, drive items, or one category."""
+    """Coarse filter: everything, starred files, drive items, or one category."""
     if category in (None, "", "all"):
         return files
+    if category == "starred":
+        return files.where(F.coalesce("starred", F.lit(False)))
     if category == "google_drive":
         return files.where(F.coalesce("is_drive_item", F.lit(False)))
     return files.where(F.col("category") == category)
@@ -142,6 +150,11 @@ def merge_variants(hits: list[DataFrame]) -> DataFrame:
     return best.select("file_id", F.col("b.score").alias("score"), F.col("b.chunk_idx").alias("chunk_idx"), F.col("b.snippet").alias("snippet"))
 
 
+def available_documents(docs: DataFrame, live: DataFrame, legacy: DataFrame) -> DataFrame:
+    """Indexed documents whose file is live, without the ids of ``legacy`` (file_id): what search may offer."""
+    return docs.join(live.select("id").distinct(), "id", "left_semi").join(legacy.select(F.col("file_id").alias("id")).distinct(), "id", "left_anti")
+
+
 def bucket_index(vectors: DataFrame, dimension: int) -> DataFrame:
     """``id, bucket``: 24 bucket keys per vector (two probes in each of twelve tables)."""
     scope = F.coalesce("corpus_key", F.lit("user"))
@@ -195,7 +208,7 @@ def hybrid_search(files: DataFrame, docs: DataFrame, query: str, neural: DataFra
     rows = f.withColumn("meta", meta).join(F.broadcast(body), F.col("id") == F.col("file_id"), "left").drop("file_id")
     if use_neural:
         n = neural.select(F.col("file_id").alias("_nid"), F.col("score").alias("n"), F.col("snippet").alias("n_snip"))
-        rows = rows.join(F.broadcast(n), F.col("id") == F.col("_nid"), "left")
+        rows = rows.join(_small(n), F.col("id") == F.col("_nid"), "left")
     else:
         rows = rows.withColumn("n", F.lit(None).cast("double")).withColumn("n_snip", F.lit(None).cast("string"))
     bm = F.coalesce(F.least(F.lit(100.0), F.col("b") * 12), F.lit(0.0))

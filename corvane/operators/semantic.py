@@ -1,8 +1,9 @@
 """Semantic near-duplicates of files from their chunk vectors, and folder suggestions.
 
 Centroids shortlist pairs, then chunks are matched one to one and in order. The
-shortlist compares a stated set of query profiles with all profiles in blocks;
-nothing is cross joined and a task never holds more than two blocks.
+shortlist is exact: all profiles are compared with all profiles, in pairs of blocks,
+and a task never holds more than two blocks. Its work grows with the square of the
+number of files; the similarity search of problem 1 is the operator for large collections.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as T
 from corvane.functions import vectors as V
+from corvane.functions.catalog import millis
 from corvane.operators.components import connected_components
 from corvane.session import stage
 
@@ -44,30 +46,27 @@ def centroids(reps: DataFrame) -> DataFrame:
 def shortlist(profiles: DataFrame, top: int = SHORTLIST, blocks: int = 1) -> DataFrame:
     """``file_id, other, similarity``: per profile its ``top`` nearest others by centroid cosine (ties: smaller id).
 
-    Profiles are cut into ``blocks`` by hash; every profile visits every block, blocks
-    answer with their own best, and answers are merged.
+    Exact, so every profile meets every other: profiles are cut into ``blocks`` by hash,
+    a task holds one block of askers and one of answers, and the answers' best are merged.
     """
-    data = profiles.select("file_id", "centroid", F.pmod(F.xxhash64("file_id"), F.lit(blocks)).cast("int").alias("blk"), F.lit(True).alias("data"))
-    ask = profiles.select("file_id", "centroid", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("blk"), F.lit(False).alias("data"))
+    own = F.pmod(F.xxhash64("file_id"), F.lit(blocks)).cast("int")
+    each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    data = profiles.select("file_id", "centroid", each.alias("asker"), own.alias("answer"), F.lit(True).alias("data"))
+    ask = profiles.select("file_id", "centroid", own.alias("asker"), each.alias("answer"), F.lit(False).alias("data"))
 
     def best(pdf: pd.DataFrame) -> pd.DataFrame:
         d, q = pdf[pdf["data"]].sort_values("file_id"), pdf[~pdf["data"]]
-        out = {"file_id": [], "other": [], "similarity": []}
-        if len(d):
-            x = np.stack(d["centroid"].to_list())
-            ids = d["file_id"].to_numpy()
-            for lo in range(0, len(q), BLOCK):
-                part = q.iloc[lo : lo + BLOCK]
-                s = np.round(np.stack(part["centroid"].to_list()) @ x.T, 12)
-                for i, fid in enumerate(part["file_id"]):
-                    row = s[i].copy()
-                    row[ids == fid] = -np.inf
-                    for j in np.argsort(-row, kind="stable")[:top]:
-                        if row[j] > -np.inf:
-                            out["file_id"].append(fid), out["other"].append(ids[j]), out["similarity"].append(float(row[j]))
-        return pd.DataFrame(out).astype({"file_id": object, "other": object, "similarity": float})
-
-    got = data.unionByName(ask).groupBy("blk").applyInPandas(best, "file_id string, other string, similarity double")
+        if not len(d) or not len(q):
+            return pd.DataFrame({"file_id": [], "other": [], "similarity": []}).astype({"file_id": object, "other": object, "similarity": float})
+        ids, names = d["file_id"].to_numpy(), q["file_id"].to_numpy()
+        s = np.round(np.stack(q["centroid"].to_list()) @ np.stack(d["centroid"].to_list()).T, 12)
+        s[names[:, None] == ids] = -np.inf
+        near = np.argsort(-s, axis=1, kind="stable")[:, :top]
+        score = np.take_along_axis(s, near, 1)
+        i, j = np.nonzero(score > -np.inf)
+        return pd.DataFrame({"file_id": names[i], "other": ids[near[i, j]], "similarity": score[i, j]})
+
+    got = data.unionByName(ask).groupBy("asker", "answer").applyInPandas(best, "file_id string, other string, similarity double")
     r = F.row_number().over(W.partitionBy("file_id").orderBy(F.desc("similarity"), "other"))
     return got.withColumn("r", r).where(F.col("r") <= top).drop("r")
 
@@ -132,8 +131,14 @@ def semantic_groups(vectors: DataFrame, threshold: float = 0.9, max_files: int |
 
 
 def uncertain_pairs(vectors: DataFrame, threshold: float = 0.9, max_files: int | None = MAX_FILES) -> DataFrame:
-    """``a, b, similarity`` just below the threshold."""
-    return pair_scores(vectors, threshold, max_files).where((F.col("similarity") < threshold) & (F.col("similarity") >= threshold - MARGIN))
+    """``a, b, similarity`` just below the threshold, most similar first."""
+    return pair_scores(vectors, threshold, max_files).where((F.col("similarity") < threshold) & (F.col("similarity") >= threshold - MARGIN)).orderBy(F.desc("similarity"), "a", "b")
+
+
+def ordered_semantic_groups(groups: DataFrame, files: DataFrame) -> DataFrame:
+    """Members of ``semantic_groups``, best groups first; within one by modification (missing instants last), then id."""
+    known = files.select(F.col("id").alias("file_id"), millis("modified_time").alias("_m"))
+    return groups.join(known, "file_id", "left").orderBy(F.desc("best_similarity"), "component", F.col("_m").asc_nulls_last(), "file_id").drop("_m")
 
 
 def mean_embedding(vectors: DataFrame, key: str = "file_id") -> DataFrame:

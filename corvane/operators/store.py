@@ -72,6 +72,24 @@ def touch(cache: DataFrame, key: str, now: Column) -> DataFrame:
     return cache.withColumn("cached_at", F.when(F.col("id") == key, now).otherwise(F.col("cached_at")))
 
 
+def seal_backup(docs: DataFrame, vectors: DataFrame, passphrase: str, created_at: str, max_bytes: int = 128 * 1024 * 1024) -> bytes:
+    """An encrypted backup of documents and vectors, written only if every backup rule holds and the estimate fits.
+
+    The container is one file in memory; its size is checked on the cluster before any row is fetched.
+    """
+    from corvane.functions.crypto import write_backup
+    from corvane.operators.validation import backup_bytes, backup_violations
+
+    bad = [f"{r['rule']}: {r['violations']}" for r in backup_violations(docs, vectors).where("violations > 0").collect()]  # a row per rule at most
+    if bad:
+        raise ValueError("backup breaks rules: " + "; ".join(bad))
+    size = backup_bytes(docs, vectors).first()[0]
+    if size > max_bytes:
+        raise ValueError(f"backup too large: about {size} bytes")
+    rows = lambda df: [r.asDict(recursive=True) for r in df.collect()]  # noqa: E731 - bounded by max_bytes
+    return write_backup(docs.sparkSession, {"createdAt": created_at, "documents": rows(docs), "vectors": rows(vectors)}, passphrase)
+
+
 def merge_restore(current: dict[str, DataFrame], backup: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """Merge a backup: documents, vault items and snapshots replace equal ids; all vectors of restored documents are replaced."""
     out = {k: replace_rows(v, backup[k], "id") if k in backup else v for k, v in current.items() if k != "vectors"}

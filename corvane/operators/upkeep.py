@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -68,6 +69,60 @@ def remove_rows(old: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return old.join(ids.select(key).distinct(), key, "left_anti")
 
 
+def put_documents(state: dict[str, DataFrame], new: DataFrame, preserve_vectors: bool = False) -> dict[str, DataFrame]:
+    """``state`` with documents replaced together with everything derived from them.
+
+    ``state`` has ``documents`` (id, text), ``chunks`` (file_id, idx, text), ``postings`` (term,
+    file_id, tf, best_chunk_idx) and ``vectors`` (file_id). Chunks and postings of the new texts
+    are derived here; vectors of replaced files are dropped unless they are preserved.
+    """
+    from corvane.operators.search import chunk_rows, postings
+
+    ids = new.select(F.col("id").alias("file_id")).distinct()
+    chunks = chunk_rows(new)
+    out = {"documents": replace_rows(state["documents"], new, "id")}
+    for name, rows in (("chunks", chunks), ("postings", postings(chunks))):
+        out[name] = remove_rows(state[name], ids, "file_id").unionByName(rows.select(*state[name].columns))
+    out["vectors"] = state["vectors"] if preserve_vectors else remove_rows(state["vectors"], ids, "file_id")
+    return out
+
+
+def delete_documents(state: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataFrame]:
+    """``state`` (see ``put_documents``) without the documents of ``ids`` (id) and everything derived from them."""
+    own = ids.select(F.col("id").alias("file_id")).distinct()
+    return {name: remove_rows(df, ids, "id") if name == "documents" else remove_rows(df, own, "file_id") for name, df in state.items()}
+
+
+def prune_vectors(vectors: DataFrame, live: DataFrame, complete: bool, corpus: str | None = None) -> DataFrame:
+    """Vectors that stay: those of live files. Only a complete enumeration prunes, and only within its corpus (null counts as ``user``)."""
+    if not complete:
+        return vectors
+    mine = F.lit(True) if corpus is None else F.coalesce("corpus_key", F.lit("user")) == corpus
+    kept = vectors.where(mine).join(live.select(F.col("id").alias("file_id")).distinct(), "file_id", "left_semi").select(*vectors.columns)
+    return kept.unionByName(vectors.where(~mine)) if corpus is not None else kept
+
+
+def index_signature(files: DataFrame, corpus: str, scope: str) -> DataFrame:
+    """``signature``: SHA-256 of corpus, scope and the sorted ``id:revision`` list.
+
+    The digest of one long string is sequential by nature: the list is sorted in
+    ranges, and one task streams through them holding a batch at a time.
+    """
+    rows = files.where("id is not null").select(F.concat("id", F.lit(":"), F.coalesce("modified_time", F.lit(""))).alias("x")).orderBy("x").coalesce(1)
+
+    def digest(batches):
+        import hashlib
+
+        h, first = hashlib.sha256(f"{corpus}|scope:{scope}|".encode()), True
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                h.update((x if first else "|" + x).encode())
+                first = False
+        yield pa.RecordBatch.from_arrays([pa.array([h.hexdigest()])], ["signature"])
+
+    return rows.mapInArrow(digest, "signature string")
+
+
 def lru_evictions(cache: DataFrame, incoming: int = 0, replace_id: str | None = None, max_bytes: int = MAX_BYTES, max_entries: int = MAX_ENTRIES) -> DataFrame:
     """``id`` of entries to evict, oldest first, until size and count fit with the incoming entry.
 

@@ -170,3 +170,34 @@ def backup_bytes(docs: DataFrame, vectors: DataFrame) -> DataFrame:
     d = docs.agg(F.coalesce(F.sum(F.length(_s("text")) * 4 + F.length(_s("name")) * 8 + 2048), F.lit(0)).alias("a"))
     v = vectors.agg(F.coalesce(F.sum(F.greatest(F.lit(0), F.size(F.coalesce("embedding", F.array().cast("array<double>")))) * 16 + F.length(_s("text")) * 4 + 2048), F.lit(0)).alias("b"))
     return d.crossJoin(v).select((F.col("a") + F.col("b")).cast("bigint").alias("bytes"))  # one row each
+
+
+def legacy_profiles(vectors: DataFrame, live: DataFrame) -> DataFrame:
+    """``file_id`` of live files that still have a vector whose text includes the file name."""
+    old = vectors.where(is_legacy_chunk(F.col("text"))).select("file_id").distinct()
+    return old.join(live.select(F.col("id").alias("file_id")).distinct(), "file_id", "left_semi")
+
+
+def scan_gate(vectors: DataFrame, live: DataFrame) -> int:
+    """Raises if a duplicate scan must not run since live files have legacy profiles; else their number, 0."""
+    n = legacy_profiles(vectors, live).count()
+    if n:
+        raise RuntimeError(f"{n} live profiles still include file names in their vectors; rebuild the index first")
+    return n
+
+
+def can_suggest(selected: Column, folders: Column, loading: Column) -> Column:
+    """True if folder suggestions may be asked for; null flags are false."""
+    on = lambda c: F.coalesce(c, F.lit(False))
+    return on(selected) & on(folders) & ~on(loading)
+
+
+def consent_granted(state: Column, policy: Column, current: str) -> Column:
+    """True if embedding was agreed to under the current policy."""
+    return F.coalesce((state == "granted") & (policy == current), F.lit(False))
+
+
+def device_filter(name: Column, path: Column, text: str, source: Column | None = None, wanted: str = "all") -> Column:
+    """Files of a device list by source and by a substring of name and path."""
+    hit = F.lower(F.concat_ws(" ", name, path)).contains(text.strip().lower())
+    return hit if source is None or wanted == "all" else hit & F.coalesce(source == wanted, F.lit(False))

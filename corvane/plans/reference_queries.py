@@ -444,7 +444,10 @@ def centroid_shortlist(spark, d):
     return semantic.shortlist(semantic.centroids(reps.join(first, "file_id", "left_semi"))).select("file_id", "other", F.round("similarity", 6).alias("similarity"))
 
 
-@query()
+_ALL_SHORT = SQL["centroid_shortlist"].replace("first500 AS (SELECT DISTINCT file_id FROM reps ORDER BY file_id LIMIT 500)", "first500 AS (SELECT DISTINCT file_id FROM reps)")
+
+
+@query(_ALL_SHORT)
 def centroid_shortlist_all(spark, d):
     """``centroid_shortlist`` without the reference's bound of 500 files."""
     profiles = stage(semantic.centroids(semantic.representatives(_latest_vectors(spark, d))))
@@ -591,13 +594,9 @@ def batch_transitions(spark, d):
     return e.groupBy(upkeep.batch_transition()["kind"].alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query(_FILES + """SELECT sha256('user|' || string_agg(h, '|' ORDER BY b)) AS signature FROM (
- SELECT substr(sha256(x), 1, 3) AS b, sha256(string_agg(x, '|' ORDER BY x)) AS h FROM (SELECT id || ':' || coalesce(modified_time, '') AS x FROM cur) GROUP BY 1)""")
+@query(_FILES + "SELECT sha256('user|scope:all|' || string_agg(id || ':' || coalesce(modified_time, ''), '|' ORDER BY id || ':' || coalesce(modified_time, ''))) AS signature FROM cur")
 def index_signature(spark, d):
-    """One digest of the catalogue's ids and revisions per first hex digit, folded: no task lists all files."""
-    f = _files(spark, d).select(F.concat("id", F.lit(":"), F.coalesce("modified_time", F.lit(""))).alias("x"))
-    part = f.groupBy(F.substring(F.sha2("x", 256), 1, 3).alias("b")).agg(F.sha2(F.concat_ws("|", F.array_sort(F.collect_list("x"))), 256).alias("h"))
-    return part.agg(F.sha2(F.concat_ws("|", F.lit("user"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda s: s["h"]), "|")), 256).alias("signature"))
+    return upkeep.index_signature(_files(spark, d), "user", "all")
 
 
 @query(_CURS + """SELECT 'document source unknown' AS rule, count(*) FILTER (source IS NULL OR source NOT IN ('export', 'binary-text', 'offline-blob')) AS violations FROM documents
@@ -653,9 +652,39 @@ def merged_listing(spark, d):
     return upkeep.merge_listing(f.where(F.coalesce("is_drive_item", F.lit(False))), f).select("id")
 
 
-@query("SELECT count(*) FILTER (starts_with(text, 'title: ') AND regexp_matches(text, '^title: .* \\| text: ')) AS legacy FROM chunks")
+@query(_FILES + "SELECT count(DISTINCT file_id) AS legacy FROM vectors WHERE regexp_matches(text, '^title: .* \\| text: ') AND file_id IN (SELECT id FROM cur)")
 def legacy_profiles(spark, d):
-    return table(spark, d, "chunks").agg(F.count_if(validation.is_legacy_chunk(F.col("text"))).alias("legacy"))
+    return validation.legacy_profiles(table(spark, d, "vectors"), _files(spark, d)).agg(F.count("*").alias("legacy"))
+
+
+@query(_CURS + """SELECT id FROM dcur WHERE id IN (SELECT id FROM fcur) AND id NOT IN (SELECT file_id FROM vectors WHERE file_id IS NOT NULL AND (regexp_matches(text, '^title: .* \\| text: ') OR embedding_version = '2'))""")
+def available_documents(spark, d):
+    v = table(spark, d, "vectors").where(validation.is_legacy_chunk(F.col("text")) | (F.col("embedding_version") == "2"))
+    return search.available_documents(_docs(spark, d), _files(spark, d), v.select("file_id")).select("id")
+
+
+@query(_FILES + "SELECT id FROM cur WHERE coalesce(starred, false)")
+def starred_files(spark, d):
+    return search.category_filter(_files(spark, d), "starred").select("id")
+
+
+@query(_FILES + "SELECT id FROM cur WHERE contains(lower(concat_ws(' ', name, folder_id)), 'report')")
+def device_filter(spark, d):
+    return _files(spark, d).where(validation.device_filter(F.col("name"), F.col("folder_id"), " Report ")).select("id")
+
+
+@query(_CURS + """, gone AS (SELECT id FROM dcur WHERE source = 'export')
+SELECT (SELECT count(*) FROM dcur WHERE coalesce(source <> 'export', true)) AS documents, (SELECT count(*) FROM chunks WHERE file_id NOT IN (SELECT id FROM gone)) AS chunks,
+ (SELECT count(*) FROM vectors WHERE file_id NOT IN (SELECT id FROM gone)) AS vectors, (SELECT count(*) FROM vectors WHERE file_id IN (SELECT id FROM fcur)) AS live_vectors""")
+def delete_document_set(spark, d):
+    docs, vectors = _docs(spark, d), table(spark, d, "vectors")
+    left = upkeep.delete_documents({"documents": docs, "chunks": table(spark, d, "chunks"), "vectors": vectors}, docs.where("source = 'export'").select("id"))
+    left["live_vectors"] = upkeep.prune_vectors(vectors, _files(spark, d), True)
+    out = None
+    for name in ("documents", "chunks", "vectors", "live_vectors"):
+        one = left[name].agg(F.count("*").alias(name))
+        out = one if out is None else out.crossJoin(one)  # single rows
+    return out
 
 
 @query("""SELECT CASE WHEN trim(text) = '' THEN 'empty text not allowed' WHEN length(trim(text)) > 8000 THEN 'text too long' END AS error, count(*) AS n FROM documents GROUP BY 1""")

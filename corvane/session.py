@@ -20,8 +20,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only where the setting is absent (local tests) a temporary folder is made;
-    it is removed when the process ends.
+    Only where the setting is absent and the master is local (tests) a temporary
+    folder is made, which is removed when the process ends; on a cluster a missing
+    setting is an error, since executors would write to disks of their own.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -29,6 +30,8 @@ def shared_dir(spark: SparkSession) -> str:
         current = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
         if current:
             named = current
+        elif not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         else:
             named = tempfile.mkdtemp(prefix="corvane-")
             atexit.register(shutil.rmtree, named, True)
@@ -104,3 +107,19 @@ def hot_join(many: DataFrame, one: DataFrame, on: list[str], count: str, limit:
     apart = many.join(F.broadcast(hot), on)
     rest = many.join(F.broadcast(hot.select(*on)), on, "left_anti").join(one.where(F.col(count) <= limit), on)
     return apart.unionByName(rest.select(*apart.columns))
+
+
+def sorted_rank(df: DataFrame, keys: list[str], order: list, name: str) -> DataFrame:
+    """0-based rank within ``keys`` by ``order`` (made unique by the caller), exact and without a hot group in one task.
+
+    Rows are cut into sorted ranges of (keys, order); ranks are taken within a range and
+    shifted by the counts of the key's earlier ranges.
+    """
+    from pyspark.sql import Window as W
+
+    ranged = stage(df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("_range", F.spark_partition_id()))
+    counts = ranged.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
+    before = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    shift = counts.select(*keys, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    within = ranged.withColumn("_r", F.row_number().over(W.partitionBy(*keys, "_range").orderBy(*order)) - 1)
+    return within.join(shift, [*keys, "_range"]).withColumn(name, (F.col("_r") + F.col("_shift")).cast("int")).drop("_r", "_shift", "_range")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import glob
 import json
 import os
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from corvane.functions.catalog import FOLDER_COLORS, FOLDER_MIME, mime_category, parse_size
 from corvane.functions.text import MAX_TEXT
+from corvane.session import restage, stage
 
 SAMPLE = 64 * 1024
 ITEM = "id string, name string, mimeType string, size string, modifiedTime string, createdTime string, parents array<string>, trashed boolean, description string, starred boolean"
@@ -92,6 +94,30 @@ def read_changes(spark: SparkSession, path: str, complete: bool = True) -> DataF
     return spark.read.parquet(path)
 
 
+def start_offset(spark: SparkSession, path: str) -> int:
+    """Where a change feed stands now: its greatest ``seq`` (0 if empty). Taken before a full listing, so nothing is missed between."""
+    return spark.read.parquet(path).agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
+
+
+def drain_pages(fetch: Callable[[str], tuple[DataFrame, str | None, str | None]], token: str, max_pages: int = 500) -> tuple[DataFrame, str]:
+    """(changes, new start offset): follow change pages from ``token`` to the terminal one.
+
+    ``fetch`` gives (rows, next token, new start offset); the last page alone has an
+    offset. More than ``max_pages`` pages, or an end without offset, raise, and nothing
+    of the drain counts. Pages are written once and read as one table.
+    """
+    pages: list[DataFrame] = []
+    for _ in range(max_pages):
+        rows, following, offset = fetch(token)
+        pages.append(stage(rows))
+        if offset:
+            return restage(pages), offset
+        if not following:
+            raise RuntimeError("the change feed ended without a start offset")
+        token = following
+    raise RuntimeError(f"no end of the change feed within {max_pages} pages")
+
+
 def read_directory(spark: SparkSession, path: str) -> DataFrame:
     """``path, name, size, modified, content`` of a directory tree, without dotted and review entries."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
