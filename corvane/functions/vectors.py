@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from itertools import combinations
 from urllib.parse import quote
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 TABLES, BITS, DIMS = 12, 12, 8
 INDEX_VERSION = "sparse-rp-lsh-v2-scoped"
 MIN_COSINE = 0.22
+PROBES = 128  #: buckets a query asks per table; a stored vector is filed under two
 _UNESCAPED = "!'()*-._~"  # what stays as it is in a component of an address
 
 
@@ -64,29 +66,41 @@ def planes(dimension: int) -> list[list[list[tuple[int, int]]]]:
     return out
 
 
-def projection_matrix(dimension: int) -> np.ndarray:
-    """dimension x (TABLES * BITS) sums of signed coordinates; a coordinate may be drawn twice."""
-    m = np.zeros((dimension, TABLES * BITS))
-    for t, bits in enumerate(planes(dimension)):
-        for b, plane in enumerate(bits):
-            for i, sign in plane:
-                m[i, t * BITS + b] += sign
-    return m
+def projections(x: np.ndarray) -> np.ndarray:
+    """n x TABLES x BITS sums of signed coordinates, added in the order they are drawn (sums near zero decide bits)."""
+    drawn = np.array(planes(x.shape[1]))
+    out = np.zeros((len(x), TABLES, BITS))
+    for k in range(DIMS):
+        out += x[:, drawn[:, :, k, 0]] * drawn[:, :, k, 1]
+    return out
 
 
 def signatures(x: np.ndarray) -> np.ndarray:
     """n x TABLES x 2 signatures: the exact one and the one with the least certain bit (the first on ties) flipped."""
-    p = (x @ projection_matrix(x.shape[1])).reshape(len(x), TABLES, BITS)
+    p = projections(x)
     weights = 1 << np.arange(BITS)
     sig = ((p >= 0) * weights).sum(2)
     return np.stack([sig, sig ^ weights[np.abs(p).argmin(2)]], axis=2)
 
 
-def _keys(vectors: list, scopes: list, dimension: int) -> list[list[str]]:
+#: Sets of up to three bits that a query may flip in a signature.
+_FLIPS = np.array([[b in s for b in range(BITS)] for n in range(4) for s in combinations(range(BITS), n)], dtype=float)
+
+
+def probes(x: np.ndarray, count: int) -> np.ndarray:
+    """n x TABLES x ``count`` signatures a query asks: its own, then those whose flipped bits are the least certain together."""
+    p = projections(x)
+    weights = 1 << np.arange(BITS)
+    best = np.argsort(np.abs(p) @ _FLIPS.T, axis=2, kind="stable")[:, :, :count]
+    return ((p >= 0) * weights).sum(2)[:, :, None] ^ (_FLIPS @ weights).astype(np.int64)[best]
+
+
+def _keys(vectors: list, scopes: list, dimension: int, asked: int | None = None) -> list[list[str]]:
     ok = [i for i, v in enumerate(vectors) if v is not None and len(v) == dimension and np.isfinite(np.asarray(v, float)).all()]
     out: list[list[str]] = [[] for _ in vectors]
     if ok:
-        sig = signatures(np.stack([np.asarray(vectors[i], float) for i in ok]))
+        x = np.stack([np.asarray(vectors[i], float) for i in ok])
+        sig = signatures(x) if asked is None else probes(x, asked)
         for row, i in zip(sig, ok):
             head = f"{INDEX_VERSION}:{quote(scopes[i] or '', safe=_UNESCAPED)}:"
             out[i] = [f"{head}{t}:{s}" for t in range(TABLES) for s in row[t]]
@@ -106,6 +120,16 @@ def bucket_keys(v: Column, scope: Column, dimension: int) -> Column:
     return keys(v, scope)
 
 
-def query_keys(v: list[float], scope: str) -> list[str]:
-    """Bucket keys of one query vector."""
-    return _keys([v], [scope], len(v))[0]
+def query_keys(v: list[float], scope: str, asked: int = PROBES) -> list[str]:
+    """The buckets one query vector asks: ``asked`` per table."""
+    return _keys([v], [scope], len(v), asked)[0]
+
+
+def probe_keys(v: Column, scope: Column, dimension: int, asked: int = PROBES) -> Column:
+    """``query_keys`` for a column of query vectors."""
+
+    @F.pandas_udf("array<string>")
+    def keys(vec: pd.Series, sc: pd.Series) -> pd.Series:
+        return pd.Series(_keys(vec.tolist(), sc.tolist(), dimension, asked))
+
+    return keys(v, scope)

@@ -161,19 +161,20 @@ def bucket_index(vectors: DataFrame, dimension: int) -> DataFrame:
     return vectors.select("id", F.explode(V.bucket_keys(F.col("embedding"), scope, dimension)).alias("bucket"))
 
 
-def ann_search(vectors: DataFrame, query: list[float], corpus: str, dimension: int, exact_up_to: int = 128, guard_count: int = 64, guard_score: float = 0.45, fallback: bool = True, min_score: float = V.MIN_COSINE, top: int = TOP) -> tuple[DataFrame, dict]:
+def ann_search(vectors: DataFrame, query: list[float], corpus: str, dimension: int, exact_up_to: int = 128, guard_count: int = 64, guard_score: float = 0.45, fallback: bool = True, probes: int = V.PROBES, min_score: float = V.MIN_COSINE, top: int = TOP) -> tuple[DataFrame, dict]:
     """Bucketed candidates, exact rerank, and the recall guard; returns (hits, metrics).
 
     Exact when the corpus has at most ``exact_up_to`` vectors; otherwise candidates
-    share a bucket with the query, and the exact scan runs again if they are fewer
-    than ``guard_count`` or their best score is under ``guard_score``.
+    are filed under one of the ``probes`` buckets per table that the query asks, and the
+    exact scan runs again if they are fewer than ``guard_count`` or their best score is
+    under ``guard_score``. ``bucket_recall`` measures the bucket path alone.
     """
     own = vectors.where(F.coalesce("corpus_key", F.lit("user")) == corpus)
     total = own.count()
     if total <= exact_up_to:
         return vector_search(own, query, min_score, top), {"total": total, "candidates": total, "path": "exact"}
-    probe = V.query_keys(query, corpus)
-    ids = bucket_index(own, dimension).where(F.col("bucket").isin(probe)).select("id").distinct()
+    probe = own.sparkSession.createDataFrame([(k,) for k in V.query_keys(query, corpus, probes)], "bucket string")  # the query
+    ids = bucket_index(own, dimension).join(F.broadcast(probe), "bucket", "left_semi").select("id").distinct()
     some = own.join(ids, "id", "left_semi")
     count = some.count()
     hits = vector_search(some, query, min_score, top)
@@ -183,6 +184,26 @@ def ann_search(vectors: DataFrame, query: list[float], corpus: str, dimension: i
     return hits, {"total": total, "candidates": count, "path": "ann"}
 
 
+def bucket_recall(vectors: DataFrame, queries: DataFrame, dimension: int, k: int = 10, probes: int = V.PROBES, exact_up_to: int = 128) -> DataFrame:
+    """``queries, precision_at_5, recall_at_10, mrr`` of ``ann_search``, without its guard, against a scan.
+
+    Corpora of up to ``exact_up_to`` vectors are scanned, as there; all others go through the buckets.
+
+    ``vectors``: id, corpus_key, embedding (valid, one row per id); ``queries``: some of
+    them, all with a corpus. A query's own row does not count.
+    """
+    q = queries.select(F.col("id").alias("query_id"), "corpus_key", F.col("embedding").alias("qe"))
+    size = vectors.groupBy("corpus_key").agg(F.count("*").alias("n"))
+    exact = q.join(size, "corpus_key").join(vectors, "corpus_key").where("id <> query_id").select("query_id", F.col("id").alias("item"), "n", V.cosine(F.col("embedding"), F.col("qe")).alias("s"))
+    asked = q.select("query_id", F.explode(V.probe_keys(F.col("qe"), F.coalesce("corpus_key", F.lit("user")), dimension, probes)).alias("bucket"))
+    shared = asked.join(bucket_index(vectors, dimension), "bucket").select("query_id", F.col("id").alias("item")).distinct()
+    w = W.partitionBy("query_id").orderBy(F.desc("s"), "item")
+    top = lambda df: df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "item", "rank")
+    found = exact.where(F.col("n") > exact_up_to).join(shared, ["query_id", "item"], "left_semi").unionByName(exact.where(F.col("n") <= exact_up_to))
+    metrics = retrieval_metrics(top(found), top(exact).select("query_id", "item"))
+    return q.agg(F.count("*").alias("queries")).crossJoin(metrics)  # one row each
+
+
 def hybrid_scores(neural: Column, bm25n: Column, meta: Column) -> Column:
     """Weighted fusion; a lexical-only hit may be lifted to half of its lexical score."""
     weighted = T.half_up(neural * 0.55 + bm25n * 0.25 + meta * 0.2)

@@ -164,7 +164,8 @@ def expand_terms(spark, d):
     return _files(spark, d).select("id", F.array_join(T.expand_terms_column("name"), "|").alias("terms"))
 
 
-@query()
+@query("""SELECT * FROM (VALUES ('cannabis report', 'cannabis report', CAST(0 AS BIGINT)), ('cannabis report', 'hemp report', 1), ('cannabis report', 'भांग report', 2),
+ ('Hemp video', 'Hemp video', 0), ('Hemp video', 'hemp video', 1), ('Hemp video', 'cannabis video', 2), ('monthly workflow report', 'monthly workflow report', 0)) t(query, variant, pos)""")
 def semantic_variants(spark, d):
     return spark.createDataFrame([(q, v, i) for q in ("cannabis report", "Hemp video", QUERY) for i, v in enumerate(T.semantic_variants(q))], "query string, variant string, pos int")
 
@@ -272,7 +273,21 @@ def index_scope(spark, d):
     return _files(spark, d).where(F.coalesce("is_drive_item", F.lit(False)) & validation.can_extract()).select("id")
 
 
-@query()
+_ROUTES = r"""
+SELECT CASE WHEN m IN ('application/vnd.google-apps.document', 'application/vnd.google-apps.spreadsheet', 'application/vnd.google-apps.presentation') THEN 'export'
+  WHEN m = 'application/pdf' OR ends_with(n, '.pdf') THEN 'pdf'
+  WHEN m IN ('application/vnd.openxmlformats-officedocument.wordprocessingml.document', 'application/vnd.ms-word.document.macroEnabled.12') OR regexp_matches(n, '\\.doc[xm]$') THEN 'docx'
+  WHEN m = 'application/vnd.openxmlformats-officedocument.spreadsheetml.sheet' OR regexp_matches(n, '\\.xls[xm]$') THEN 'xlsx'
+  WHEN m IN ('application/vnd.openxmlformats-officedocument.presentationml.presentation', 'application/vnd.ms-powerpoint.presentation.macroEnabled.12') OR regexp_matches(n, '\\.ppt[xm]$') THEN 'pptx'
+  WHEN m IN ('image/png', 'image/jpeg', 'image/webp', 'image/bmp', 'image/gif', 'image/tiff') OR regexp_matches(n, '\\.(png|jpe?g|webp|bmp|gif|tiff?)$') THEN 'image'
+  WHEN starts_with(m, 'text/') OR m IN ('application/json', 'application/xml') OR regexp_matches(n, '\\.(txt|md|csv|json|xml|html|log)$') THEN 'text' ELSE 'none' END AS route,
+ CASE WHEN starts_with(m, 'image/') THEN 'image' WHEN starts_with(m, 'video/') THEN 'video' WHEN starts_with(m, 'audio/') THEN 'audio' WHEN contains(m, 'sheet') OR regexp_matches(n, '\\.(csv|xls|xlsx)$') THEN 'spreadsheet'
+  WHEN contains(m, 'pdf') OR regexp_matches(n, '\\.(pdf|doc|docx|txt|rtf)$') THEN 'document' WHEN regexp_matches(n, '\\.(zip|rar|7z)$') THEN 'archive' ELSE 'other' END AS local,
+ CASE m WHEN 'application/vnd.google-apps.document' THEN 'pdf' WHEN 'application/vnd.google-apps.spreadsheet' THEN 'xlsx' WHEN 'application/vnd.google-apps.presentation' THEN 'pdf' WHEN 'application/vnd.google-apps.drawing' THEN 'png' END AS export,
+ count(*) AS n FROM (SELECT coalesce(mime_type, '') AS m, lower(coalesce(name, '')) AS n FROM cur) GROUP BY 1, 2, 3""".replace("\\\\", "\\")
+
+
+@query(_FILES + _ROUTES)
 def extraction_routes(spark, d):
     f = _files(spark, d)
     return f.groupBy(validation.extraction_route().alias("route"), validation.local_category(F.col("mime_type"), F.col("name")).alias("local"), validation.export_hint(F.col("mime_type"))["ending"].alias("export")).agg(F.count("*").alias("n"))
@@ -303,7 +318,18 @@ def neural_variant_merge(spark, d):
     return search.merge_variants([search.vector_search(v, _query_vector(spark, d, i), top=None) for i in range(3)]).select("file_id", F.round("score", 6).alias("score"))
 
 
-@query()
+def _lsh_sql() -> str:
+    """Signatures from the planes written out: bit sums, their signs, and the least certain bit flipped."""
+    tables = []
+    for t, bits in enumerate(V.planes(DIM)):
+        sums = ", ".join(" + ".join(f"{sign} * e[{i + 1}]" for i, sign in plane) for plane in bits)
+        tables.append(f"SELECT id, ck, {t} AS t, [{sums}] AS p FROM (SELECT id, ck, embedding::DOUBLE[] AS e FROM lat)")
+    sig = "list_sum(list_transform(p, lambda x, i: CASE WHEN x >= 0 THEN 1 << (i - 1) ELSE 0 END))"
+    return _VEC.rstrip() + ", pr AS (" + " UNION ALL ".join(tables) + f"""), sg AS (SELECT ck, t, CAST({sig} AS BIGINT) AS s, CAST(1 << (list_position(list_transform(p, lambda x: abs(x)), list_min(list_transform(p, lambda x: abs(x)))) - 1) AS BIGINT) AS f FROM pr)
+SELECT '{V.INDEX_VERSION}:' || replace(ck, ':', '%3A') || ':' || t || ':' || b AS bucket, count(*) AS n FROM (SELECT ck, t, s AS b FROM sg UNION ALL SELECT ck, t, xor(s, f) FROM sg) GROUP BY 1"""
+
+
+@query(_lsh_sql())
 def lsh_buckets(spark, d):
     return search.bucket_index(_latest_vectors(spark, d), DIM).groupBy("bucket").agg(F.count("*").alias("n"))
 
@@ -320,19 +346,21 @@ def ann_search_guarded(spark, d):
     return hits.select("file_id", F.round("score", 6).alias("score"))
 
 
+_ASKED = "CAST('0x' || substr(md5(id), 1, 4) AS INT) % 100 = 0"
+
+
+@query(_VEC + f"SELECT count(*) AS queries, true AS reached FROM lat WHERE {_ASKED}")
+def ann_recall(spark, d):
+    """Whether the buckets alone, without the guard, find nine of ten nearest vectors, for every hundredth vector by MD5 of its id."""
+    m = ann_recall_metrics(spark, d)
+    return m.select("queries", (F.col("recall_at_10") >= 0.9).alias("reached"))
+
+
 @query()
 def ann_recall_metrics(spark, d):
-    """Ten nearest by shared buckets against ten nearest by scan, for ids divisible by 100, guard off."""
-    v = _latest_vectors(spark, d).withColumn("n", F.pmod(F.xxhash64("id"), F.lit(100)))
-    v = stage(v.select("id", "corpus_key", "embedding", "n"))
-    q = v.where("n = 0").select(F.col("id").alias("query_id"), "corpus_key", F.col("embedding").alias("qe"))
-    exact = q.join(v, "corpus_key").where("id <> query_id").select("query_id", F.col("id").alias("item"), V.cosine(F.col("embedding"), F.col("qe")).alias("s"))
-    keys = search.bucket_index(v, DIM)
-    shared = keys.join(q.select(F.col("query_id").alias("id")), "id", "left_semi").withColumnRenamed("id", "query_id").join(keys, "bucket").where("id <> query_id").select("query_id", F.col("id").alias("item")).distinct()
-    r = W.partitionBy("query_id").orderBy(F.desc("s"), "item")
-    want = exact.withColumn("rank", F.row_number().over(r)).where("rank <= 10").select("query_id", "item")
-    got = exact.join(shared, ["query_id", "item"], "left_semi").withColumn("rank", F.row_number().over(r)).where("rank <= 10").select("query_id", "item", "rank")
-    return search.retrieval_metrics(got, want).select(*[F.round(c, 4).alias(c) for c in ("precision_at_5", "recall_at_10", "mrr")])
+    v = stage(_latest_vectors(spark, d).select("id", "corpus_key", "embedding"))
+    asked = v.where(F.conv(F.substring(F.md5("id"), 1, 4), 16, 10).cast("int") % 100 == 0)
+    return search.bucket_recall(v, asked, DIM).select("queries", *[F.round(c, 4).alias(c) for c in ("precision_at_5", "recall_at_10", "mrr")])
 
 
 _HYB = _DOCS + _bm25_sql(QUERY) + """,
@@ -399,6 +427,18 @@ def keep_candidates(spark, d):
     return s.select("dup_key", "id", F.round("score", 6).alias("score"), F.array_join(duplicates.keep_reasons(), "; ").alias("reasons"))
 
 
+_SCORED = SQL["keep_candidates"].partition("SELECT dup_key, id, round(")[0]
+_POINTS = SQL["keep_candidates"].partition("SELECT dup_key, id, round(")[2].partition(", 6) AS score")[0]
+
+
+@query(_SCORED.rstrip() + f""",
+s AS (SELECT dup_key, id, name, c, epoch_ms(TRY_CAST(modified_time AS TIMESTAMPTZ)) AS m, {_POINTS} AS score FROM p),
+o AS (SELECT *, row_number() OVER (PARTITION BY dup_key ORDER BY score DESC, coalesce(c, 4611686018427387904), coalesce(m, 4611686018427387904), coalesce(name, ''), id) AS best FROM s)
+SELECT dup_key, CAST(row_number() OVER (PARTITION BY dup_key ORDER BY best <> 1, coalesce(m, 4611686018427387904), id) - 1 AS INT) AS position, id FROM o""")
+def group_members(spark, d):
+    return duplicates.group_members(_files(spark, d))
+
+
 @query(_DUP + "SELECT id FROM k WHERE dup_key IS NOT NULL QUALIFY row_number() OVER (PARTITION BY dup_key ORDER BY id) > 1")
 def movable_survivors(spark, d):
     keyed = _files(spark, d).withColumn("dup_key", duplicates.duplicate_key()).where("dup_key is not null")

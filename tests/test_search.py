@@ -90,7 +90,7 @@ def test_ann_paths(spark):
     v = vecs(spark, rows)
     q = base[0].tolist()
     exact, m0 = search.ann_search(v, q, "user", 32, exact_up_to=500)
-    guard, m1 = search.ann_search(v, q, "user", 32)
+    guard, m1 = search.ann_search(v, q, "user", 32, probes=2)  # too few candidates
     loose, m2 = search.ann_search(v, q, "user", 32, fallback=False)
     assert m0["path"] == "exact" and m1["path"] == "guard" and m2["path"] == "ann" and m2["candidates"] < 200
     e, g, a = ({r.file_id for r in x.collect()} for x in (exact, guard, loose))

@@ -3,7 +3,10 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.operators import store, upkeep
+from corvane import session
+from corvane.functions import crypto
+from corvane.operators import search, store, upkeep, validation
+from corvane.sources import listing
 
 
 def test_snapshots_do_not_mix(spark, tmp_path):
@@ -53,3 +56,57 @@ def test_restore_and_misc(spark):
     assert list(w) == [4000.0, 60000.0]
     assert store.export_events(d("a")).first()[0] == '{"id":"a","n":0}'
     assert store.sync_mode("all", True) == "incremental" and store.sync_mode("pdfs", True) == "full" and not store.may_prune("all", True)
+
+
+def test_document_sets_are_replaced_and_deleted_whole(spark):
+    docs = search.current_documents(spark.createDataFrame([("a", 1, "old words here", "t", "user"), ("b", 2, "kept text stays", "t", None)], "id string, doc_id bigint, text string, indexed_at string, corpus_key string"))
+    chunks = search.chunk_rows(docs)
+    vectors = spark.createDataFrame([("a", "user"), ("b", None), ("gone", "user")], "file_id string, corpus_key string")
+    state = {"documents": docs, "chunks": chunks, "postings": search.postings(chunks), "vectors": vectors}
+    new = docs.where("id = 'a'").withColumn("text", F.lit("fresh content"))
+    after = upkeep.put_documents(state, new)
+    assert {r.text for r in after["documents"].collect()} == {"fresh content", "kept text stays"} and {r.term for r in after["postings"].where("file_id = 'a'").collect()} == {"fresh", "content"}
+    assert {r.file_id for r in after["vectors"].collect()} == {"b", "gone"} and upkeep.put_documents(state, new, True)["vectors"].count() == 3
+    left = upkeep.delete_documents(after, spark.createDataFrame([("b",)], "id string"))
+    assert [left[k].count() for k in ("documents", "chunks", "postings", "vectors")] == [1, 1, 2, 1]
+    live = docs.select("id")
+    assert {r.file_id for r in upkeep.prune_vectors(vectors, live, True).collect()} == {"a", "b"} and upkeep.prune_vectors(vectors, live, False).count() == 3
+    assert upkeep.prune_vectors(vectors, live, True, "other").count() == 3
+
+
+def test_backups_are_validated_before_they_are_sealed(spark):
+    docs = spark.createDataFrame([("a", "text", "n", "export", 4, "user")], "id string, text string, name string, source string, char_count int, corpus_key string")
+    vectors = spark.createDataFrame([("user::a#0", "a", 0, "text", [1.0, 0.0], 2, "user")], "id string, file_id string, idx int, text string, embedding array<double>, dimension int, corpus_key string")
+    blob = store.seal_backup(docs, vectors, "a long enough passphrase", "2024-01-01T00:00:00Z")
+    assert crypto.read_backup(spark, blob, "a long enough passphrase")["documents"][0]["id"] == "a"
+    with pytest.raises(ValueError, match="char_count"):
+        store.seal_backup(docs.withColumn("char_count", F.lit(5)), vectors, "a long enough passphrase", "x")
+    with pytest.raises(ValueError, match="too large"):
+        store.seal_backup(docs, vectors, "a long enough passphrase", "x", max_bytes=10)
+
+
+def test_gates_and_flags(spark):
+    vectors = spark.createDataFrame([("a", "title: n | text: x"), ("z", "title: n | text: y"), ("b", "plain")], "file_id string, text string")
+    live = spark.createDataFrame([("a",), ("b",)], "id string")
+    with pytest.raises(RuntimeError, match="^1 live"):
+        validation.scan_gate(vectors, live)
+    assert validation.scan_gate(vectors, live.where("id = 'b'")) == 0
+    r = spark.range(1).select(validation.can_suggest(F.lit(True), F.lit(True), F.lit(None).cast("boolean")).alias("a"), validation.consent_granted(F.lit("granted"), F.lit("p1"), "p2").alias("b"), validation.consent_granted(F.lit("granted"), F.lit("p2"), "p2").alias("c")).first()
+    assert (r.a, r.b, r.c) == (True, False, True)
+
+
+def test_change_pages(spark):
+    pages = {"1": (spark.range(2), "2", None), "2": (spark.range(2, 5), None, "9")}
+    rows, offset = listing.drain_pages(pages.__getitem__, "1")
+    assert rows.count() == 5 and offset == "9"
+    with pytest.raises(RuntimeError, match="within 1 pages"):
+        listing.drain_pages(pages.__getitem__, "1", max_pages=1)
+    with pytest.raises(RuntimeError, match="without"):
+        listing.drain_pages({"1": (spark.range(1), None, None)}.__getitem__, "1")
+
+
+def test_sorted_rank_equals_a_window(spark):
+    df = spark.createDataFrame([(i % 3 if i % 2 else 0, (i * 37) % 101) for i in range(101)], "k int, v int")
+    got = {(r.k, r.v): r.n for r in session.sorted_rank(df, ["k"], [F.col("v")], "n").collect()}
+    want = {(k, v): n for k in range(3) for n, v in enumerate(sorted(v for a, v in got if a == k))}
+    assert got == want and len(got) == 101
