@@ -66,7 +66,13 @@ def p10_found(spark, d):
     return spans.shared_pairs(spans.shared_spans(table(spark, d, "documents"), 200))
 
 
-@query()
+@query("""
+WITH t AS (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200),
+h AS (SELECT doc_id, i, hash(substr(text, i, 200)) AS h FROM t),
+r AS (SELECT h FROM h GROUP BY h HAVING count(DISTINCT doc_id) > 1),
+k AS (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM h WHERE h IN (SELECT h FROM r)),
+s AS (SELECT doc_id, sum(least(200, coalesce(n - i, 200))) AS c FROM k GROUP BY doc_id)
+SELECT d.doc_id, length(text)::BIGINT AS n_chars, coalesce(s.c, 0)::BIGINT AS shared_chars, round(coalesce(s.c, 0)::DOUBLE / length(text), 6) AS share FROM documents d LEFT JOIN s USING (doc_id) WHERE length(text) >= 200""")
 def p10_share(spark, d):
     return spans.shared_share(spans.shared_spans(table(spark, d, "documents"), 200))
 

@@ -132,12 +132,34 @@ def test_shared_spans_equal_brute_force(spark):
     texts = span_texts()
     found = spans.shared_spans(docs(spark, texts))
     assert {tuple(r) for r in spans.shared_pairs(found).collect()} == shared_pairs(texts, 200)
+    at = {(r.doc_id, r.around): r.pos for r in found.places.collect()}
     for r in found.spans.collect():
-        assert r.length >= 200 and texts[r.a][r.pos_a : r.pos_a + r.length] == texts[r.b][r.pos_b : r.pos_b + r.length]
+        p, q = at[r.a, r.around_a], at[r.b, r.around_b]
+        assert r.left + r.right >= 200 and texts[r.a][p - r.left : p + r.right] == texts[r.b][q - r.left : q + r.right]
     share = {r.doc_id: r.shared_chars for r in spans.shared_share(found).collect()}
     assert share[3] == 420 and share[12] == 0 and share[7] == 400
 
 
+def shared_chars(texts, least):
+    seen = {}
+    for i, t in enumerate(texts):
+        for p in range(len(t or "") - least + 1):
+            seen.setdefault(t[p : p + least], set()).add(i)
+    return {i: len({q for p in range(len(t) - least + 1) if len(seen[t[p : p + least]]) > 1 for q in range(p, p + least)}) for i, t in enumerate(texts) if len(t or "") >= least}
+
+
+@pytest.mark.parametrize("least", [200, 450])
+def test_shares_of_repeated_sections(spark, least):
+    rnd = random.Random(9)
+    text = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    x, p, y = text(400), text(520), text(500)
+    texts = [text(50) + x + p + y + text(30) + x + p + y, text(90) + p + text(70), ("log line 1234\n" * 90) + text(40), text(20) + ("log line 1234\n" * 60), text(900)]
+    assert spans.levels_of(least) == (1 if least == 200 else 2)
+    found = spans.shared_spans(docs(spark, texts), least)
+    assert {r.doc_id: r.shared_chars for r in spans.shared_share(found).collect()} == shared_chars(texts, least)
+    assert {tuple(r) for r in spans.shared_pairs(found).collect()} == shared_pairs(texts, least)
+
+
 def test_crowded_windows_take_the_other_way(spark):
     rnd = random.Random(5)
     text = lambda n: "".join(rnd.choice("abcdefghijk ") for _ in range(n))
