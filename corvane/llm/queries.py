@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvane.llm import consensus, mixing, neardup, packing, scans, similar, spans, splitting
@@ -50,8 +51,8 @@ def p2_links(spark, d):
     return neardup.link_counts(neardup.near_duplicates(_docs(spark, d))).select("doc_id", "links")
 
 
-@query(_p2_sql(5, 5, 0.8).replace("WITH", "WITH RECURSIVE", 1) + """, both AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
-r AS (SELECT a, b FROM both UNION SELECT r.a, both.b FROM r JOIN both ON r.b = both.a)
+@query(_p2_sql(5, 5, 0.8).replace("WITH", "WITH RECURSIVE", 1) + """, bi AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
+r AS (SELECT a, b FROM bi UNION SELECT r.a, bi.b FROM r JOIN bi ON r.b = bi.a)
 SELECT n.doc_id, least(n.doc_id, coalesce(min(r.b), n.doc_id)) AS group_id FROM n LEFT JOIN r ON r.a = n.doc_id GROUP BY n.doc_id""")
 def p2_groups(spark, d):
     return neardup.duplicate_groups(_docs(spark, d))
@@ -137,6 +138,30 @@ def p6_found(spark, d):
     return splitting.faulty_pieces(splitting.audit_pieces(table(spark, d, "chunks"), table(spark, d, "documents"), limit, low, high))
 
 
+_FLAT = r"trim(regexp_replace(text, '[\t\n\x0b\f\r \x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+', ' ', 'g'))"
+
+
+@query(f"SELECT doc_id, length({_FLAT}) AS n_chars, true AS covers, true AS fits, true AS laps FROM documents WHERE text IS NOT NULL AND {_FLAT} <> ''")
+def p6_audit(spark, d):
+    """Pieces cover their document, keep the limit and overlap as asked. (A text is as long as its last piece's end.)"""
+    limit, low, high = _limit(spark, d, "piece")
+    p = splitting.split_documents(table(spark, d, "documents"), limit, low, high).withColumn("end", F.col("start") + F.length("text"))
+    w = W.partitionBy("doc_id").orderBy("idx")
+    p = p.withColumn("lap", F.lag("end").over(w) - F.col("start"))
+    return p.groupBy("doc_id").agg(
+        F.max("end").alias("n_chars"), F.min((F.col("idx") > 0) & (F.col("lap") >= 0) | (F.col("start") == 0)).alias("covers"), (F.max(F.length("text")) <= limit).alias("fits"),
+        F.coalesce(F.min(F.col("lap").between(low, high)), F.lit(True)).alias("laps"))
+
+
+@query("SELECT doc_id, strlen(text) AS tokens, ceil(strlen(text) / (SELECT max_size FROM size_limits WHERE limit_name = 'container'))::BIGINT AS pieces, true AS fits FROM documents WHERE strlen(text) > 0")
+def p8_audit(spark, d):
+    """Every text is in containers whole, cut only if it exceeds one, and no container that holds some of it is overfull."""
+    capacity = _limit(spark, d, "container")[0]
+    items = packing.pack(table(spark, d, "documents"), capacity).items.where("container_id is not null")
+    used = items.groupBy("container_id").agg((F.sum("size") <= capacity).alias("ok"))
+    return items.join(used, "container_id").groupBy("doc_id").agg(F.sum("size").alias("tokens"), F.count("*").alias("pieces"), F.min("ok").alias("fits"))
+
+
 @query()
 def p6_pieces(spark, d):
     limit, low, high = _limit(spark, d, "piece")

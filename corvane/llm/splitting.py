@@ -22,7 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corvane.session import stage
+
 LONG_WORD = 80
+BLOCK = 64  #: consecutive piece numbers that are looked for together
 #: White space as the stored pieces were collapsed: ASCII, no-break and other Unicode spaces, BOM.
 SPACE = "[\\t\\n\\x0b\\f\\r \\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]"
 _RUN = re.compile(SPACE + "+")
@@ -125,38 +128,50 @@ def split_documents(documents: DataFrame, limit: int = 800, low: int = 80, high:
     return documents.select("doc_id", "text").where("text is not null").mapInArrow(run, "doc_id bigint, idx int, start bigint, text string")
 
 
-def _cut_ok(flat: str, piece: str) -> bool:
-    """True if some occurrence of ``piece`` neither starts nor ends inside a word of up to LONG_WORD characters."""
+def _cut_ok(flat: str, piece: str, near: int = 0) -> tuple[bool, int]:
+    """Whether some occurrence of ``piece`` neither starts nor ends inside a word of up to LONG_WORD characters, and where (-1: nowhere).
+
+    Occurrences behind ``near`` are looked at first, then those before it.
+    """
 
     def inside(p: int) -> bool:
         if p <= 0 or p >= len(flat) or flat[p - 1] == " " or flat[p] == " ":
             return False
-        lo = flat.rfind(" ", 0, p) + 1
-        hi = flat.find(" ", p)
-        return (len(flat) if hi < 0 else hi) - lo <= LONG_WORD
+        lo = flat.rfind(" ", max(0, p - LONG_WORD - 1), p) + 1 or max(0, p - LONG_WORD - 1)
+        hi = flat.find(" ", p, p + LONG_WORD + 1)
+        return (min(len(flat), p + LONG_WORD + 1) if hi < 0 else hi) - lo <= LONG_WORD
 
-    p = flat.find(piece)
-    if p < 0:
-        return True
-    while p >= 0:
-        if not inside(p) and not inside(p + len(piece)):
-            return True
-        p = flat.find(piece, p + 1)
-    return False
+    at = -1
+    for start, stop in ((near, len(flat)), (0, min(len(flat), near + len(piece) - 1))) if near else ((0, len(flat)),):
+        p = flat.find(piece, start, stop)
+        while p >= 0:
+            at = p
+            if not inside(p) and not inside(p + len(piece)):
+                return True, p
+            p = flat.find(piece, p + 1, stop)
+    return False, at
 
 
 def _audit(limit: int, low: int, high: int):
-    """Batches of (file_id, idx, text, prev, flat, absent) to rows with their faults."""
+    """Batches of (file_id, pieces of one block, flat) to one row per piece with its faults."""
 
     def run(batches):
         for b in batches:
-            text, prev, flat, absent = (b.column(i).to_pylist() for i in range(2, 6))
-            over = [len(t) > limit for t in text]
-            word = [None if a else f is not None and not _cut_ok(f, t) for t, f, a in zip(text, flat, absent)]
-            lap = [p is not None and not low <= longest_overlap(p, t, low, high) <= high for t, p in zip(text, prev)]
-            h = pd.util.hash_array(np.array(text, dtype=object), categorize=False).view(np.int64)
+            rows, texts = [], []
+            for file, pieces, flat in zip(*(b.column(i).to_pylist() for i in range(3))):
+                near = 0
+                for x in sorted(pieces, key=lambda x: x["idx"]):
+                    t, prev, word = x["text"], x["prev"], None
+                    if flat is not None:
+                        ok, at = _cut_ok(flat, t, near)
+                        if at >= 0:  # pieces follow each other, so the next one is looked for behind this one
+                            near, word = at, not ok
+                    rows.append((file, x["idx"], len(t) > limit, word, prev is not None and not low <= longest_overlap(prev, t, low, high) <= high))
+                    texts.append(t)
+            h = pd.util.hash_array(np.array(texts, dtype=object), categorize=False).view(np.int64) if texts else np.zeros(0, np.int64)
+            cols = list(zip(*rows)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(h), pa.array(over, pa.bool_()), pa.array(word, pa.bool_()), pa.array(lap, pa.bool_())],
+                [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(h), pa.array(cols[2], pa.bool_()), pa.array(cols[3], pa.bool_()), pa.array(cols[4], pa.bool_())],
                 ["file_id", "idx", "h", "too_long", "in_word", "bad_overlap"])
 
     return run
@@ -164,7 +179,7 @@ def _audit(limit: int, low: int, high: int):
 
 def _with_previous(p: DataFrame) -> DataFrame:
     """Add ``prev``: the text of the file's nearest smaller idx (the greatest, if texts conflict), null at the first."""
-    p = p.withColumn("blk", F.floor(F.col("idx") / 64))
+    p = p.withColumn("blk", F.floor(F.col("idx") / BLOCK))
     w = W.partitionBy("file_id", "blk").orderBy("idx").rangeBetween(W.unboundedPreceding, -1)
     p = p.withColumn("prev", F.max(F.struct("idx", "text")).over(w)["text"])
     # The first piece of a later block looks at the last one of the block before it.
@@ -172,7 +187,7 @@ def _with_previous(p: DataFrame) -> DataFrame:
     ids = heads.select("file_id").distinct()
     tails = p.join(ids, "file_id", "left_semi").groupBy("file_id", "blk").agg(F.max(F.struct("idx", "text")).alias("t"))
     before = tails.withColumn("tail", F.lag("t.text").over(W.partitionBy("file_id").orderBy("blk"))).select("file_id", "blk", "tail")
-    return p.join(before, ["file_id", "blk"], "left").withColumn("prev", F.coalesce("prev", "tail")).drop("blk", "tail")
+    return p.join(before, ["file_id", "blk"], "left").withColumn("prev", F.coalesce("prev", "tail")).drop("tail")
 
 
 def audit_pieces(pieces: DataFrame, documents: DataFrame, limit: int = 800, low: int = 80, high: int = 160) -> DataFrame:
@@ -182,19 +197,17 @@ def audit_pieces(pieces: DataFrame, documents: DataFrame, limit: int = 800, low:
     A piece that does not occur in its document, or has no document, has no word
     fault; if it occurs several times, or in both texts of a file indexed twice, one
     right place is enough. Conflicting texts of one idx are judged together. Rows with a
-    null key are ignored; a null text counts as empty. Previous pieces are found
-    in blocks of 64 numbers, so a file with very many pieces is spread over tasks.
+    null key are ignored; a null text counts as empty. Pieces are handled in blocks
+    of consecutive numbers, so a file with very many of them is spread over tasks.
     """
     p = pieces.where("file_id is not null and idx is not null").select("file_id", "idx", F.coalesce("text", F.lit("")).alias("text")).distinct()
     p = _with_previous(p)
     flat = documents.where("id is not null and text is not null").select(F.col("id").alias("file_id"), F.trim(F.regexp_replace("text", SPACE + "+", " ")).alias("flat"))
-    j = p.join(flat, "file_id", "left")
-    pos, size = F.instr("flat", F.col("text")), F.length("text")
-    left_ok = (pos <= 1) | (F.substring(F.col("flat"), pos - 1, F.lit(1)) == " ")
-    right_ok = (pos == 0) | F.substring(F.col("flat"), pos + size, F.lit(1)).isin("", " ")
-    # Only pieces whose first occurrence is cut inside a word carry their document on.
-    doubtful = F.when(~(left_ok & right_ok), F.col("flat"))
-    judged = j.select("file_id", "idx", "text", "prev", doubtful.alias("flat"), F.coalesce(pos == 0, F.lit(True)).alias("absent")).mapInArrow(
+    # A document meets its pieces in blocks, so it is sent once per BLOCK pieces, and those of one file may be in many tasks.
+    blocks = stage(p.groupBy("file_id", "blk").agg(F.collect_list(F.struct("idx", "text", "prev")).alias("pieces")))
+    held = blocks.groupBy("file_id").agg(F.collect_list("blk").alias("blks"))
+    there = flat.join(held, "file_id").select("file_id", F.explode("blks").alias("blk"), "flat")
+    judged = blocks.join(there, ["file_id", "blk"], "left").select("file_id", "pieces", "flat").mapInArrow(
         _audit(limit, low, high), "file_id string, idx int, h bigint, too_long boolean, in_word boolean, bad_overlap boolean")
     one = judged.groupBy("file_id", "idx", "h").agg(F.max("too_long").alias("too_long"), F.coalesce(F.min("in_word"), F.lit(False)).alias("in_word"), F.max("bad_overlap").alias("bad_overlap"))
     return one.groupBy("file_id", "idx").agg(*[F.max(c).alias(c) for c in ("too_long", "in_word", "bad_overlap")])

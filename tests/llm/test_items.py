@@ -118,7 +118,7 @@ def test_pieces_respect_limits(seed):
         assert pieces[0][0] == 0 and pieces[-1][1] == len(flat)
         for (a0, a1), (b0, b1) in zip(pieces, pieces[1:]):
             assert b1 - b0 <= 800 and a1 - a0 <= 800 and 80 <= a1 - b0 <= 160 and b0 > a0
-        assert all(splitting._cut_ok(flat, flat[a:b]) for a, b in pieces)
+        assert all(splitting._cut_ok(flat, flat[a:b])[0] for a, b in pieces)
     assert splitting.split_text("", 800, 80, 160) == []
 
 
@@ -129,9 +129,9 @@ def test_audit_names_faulty_pieces(spark):
     at = splitting.split_text(text, 800, 80, 160)
     at[1] = (at[1][0], at[1][1] - 3)  # ends inside a word
     at[3] = (at[3][0], at[3][0] + 850)  # too long
-    assert not splitting._cut_ok(flat, flat[at[1][0] : at[1][1]])
+    assert not splitting._cut_ok(flat, flat[at[1][0] : at[1][1]])[0]
     bad = [("f", i, flat[a:b]) for i, (a, b) in enumerate(at)]
-    want = {1, 3} | {i for i in range(1, len(bad)) if not 80 <= splitting.longest_overlap(bad[i - 1][2], bad[i][2], 80, 160) <= 160} | {i for i, p in enumerate(bad) if not splitting._cut_ok(flat, p[2])}
+    want = {1, 3} | {i for i in range(1, len(bad)) if not 80 <= splitting.longest_overlap(bad[i - 1][2], bad[i][2], 80, 160) <= 160} | {i for i, p in enumerate(bad) if not splitting._cut_ok(flat, p[2])[0]}
     long = [("g", i, "a" * 100 + f" {i:05d} " + "b" * 100) for i in range(140)]
     rows = [r + ("x", "x") for r in bad + bad[:2] + [(None, 0, "t"), ("h", None, "t"), ("h", 0, None)] + long]
     pieces = spark.createDataFrame(rows, "file_id string, idx int, text string, prev string, flat string")
