@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 ITERATIONS = 310_000
+# Fixed value: the first bytes of the container.
 MAGIC = b"DSSBACK1"
 
 

@@ -30,6 +30,7 @@ VARIANTS = {
     "भांग": ["भांग", "bhang", "cannabis", "hemp", "कैनबिस"],
     "कैनबिस": ["कैनबिस", "cannabis", "hemp", "bhang", "भांग"],
 }
+# Fixed value: words that carry no weight of their own.
 STOPWORDS = [
     "a", "an", "the", "and", "or", "of", "to", "in", "on", "for", "is", "are", "was", "were",
     "be", "been", "it", "this", "that", "with", "from", "by", "as", "at", "into", "about",
@@ -199,6 +200,7 @@ def decode_entities(c: Column | str) -> Column:
 
 def xml_text(c: Column | str) -> Column:
     """Visible text of WordprocessingML: entities first, tabs and breaks kept, tags to blanks, gaps closed."""
+    # The elements of the format and the order of the steps.
     steps = [(r"(?i)<w:tab\s*/?>", "\t"), (r"(?i)<w:br\s*/?>", "\n"), (r"(?i)</w:p\s*>", "\n"), (r"<[^>]+>", " "), (r"[ \t]+\n", "\n"), (r"\n{3,}", "\n\n"), (r"^\s+|\s+$", "")]
     return reduce(lambda x, s: F.regexp_replace(x, *s), steps, decode_entities(c))
 

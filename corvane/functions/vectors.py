@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TABLES, BITS, DIMS = 12, 12, 8
+# Fixed value: the version that leads every bucket key.
 INDEX_VERSION = "sparse-rp-lsh-v2-scoped"
 MIN_COSINE = 0.22
 PROBES = 128  #: buckets a query asks per table; a stored vector is filed under two

@@ -473,26 +473,14 @@ def representative_chunks(spark, d):
 
 
 @query(_REPS.rstrip() + """,
-first500 AS (SELECT DISTINCT file_id FROM reps ORDER BY file_id LIMIT 500),
-e AS (SELECT file_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS dd FROM reps WHERE file_id IN (SELECT file_id FROM first500)),
+e AS (SELECT file_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS dd FROM reps),
 m AS (SELECT file_id, list(x ORDER BY dd) AS v FROM (SELECT file_id, dd, avg(x) AS x FROM e GROUP BY ALL) GROUP BY file_id)
 SELECT a.file_id, b.file_id AS other, round(list_cosine_similarity(a.v, b.v), 6) AS similarity FROM m a JOIN m b ON a.file_id <> b.file_id
 QUALIFY row_number() OVER (PARTITION BY a.file_id ORDER BY round(list_cosine_similarity(a.v, b.v), 12) DESC, b.file_id) <= 8""")
 def centroid_shortlist(spark, d):
-    reps = semantic.representatives(_latest_vectors(spark, d))
-    first = reps.select("file_id").distinct().orderBy("file_id").limit(semantic.MAX_FILES)
-    return semantic.shortlist(semantic.centroids(reps.join(first, "file_id", "left_semi"))).select("file_id", "other", F.round("similarity", 6).alias("similarity"))
-
-
-_ALL_SHORT = SQL["centroid_shortlist"].replace("first500 AS (SELECT DISTINCT file_id FROM reps ORDER BY file_id LIMIT 500)", "first500 AS (SELECT DISTINCT file_id FROM reps)")
-
-
-@query(_ALL_SHORT)
-def centroid_shortlist_all(spark, d):
-    """``centroid_shortlist`` without the reference's bound of 500 files."""
+    """The eight nearest profiles of every file, over all files."""
     profiles = stage(semantic.centroids(semantic.representatives(_latest_vectors(spark, d))))
-    blocks = max(1, -(-profiles.count() // semantic.BLOCK))
-    return semantic.shortlist(profiles, blocks=blocks).select("file_id", "other", F.round("similarity", 6).alias("similarity"))
+    return semantic.shortlist(profiles, blocks=max(1, -(-profiles.count() // semantic.BLOCK))).select("file_id", "other", F.round("similarity", 6).alias("similarity"))
 
 
 @query()

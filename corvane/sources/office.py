@@ -26,6 +26,7 @@ def entities(s: str) -> str:
 def visible(xml: str) -> str:
     """WordprocessingML to text: entities, tabs, breaks, then tags to blanks."""
     s = entities(xml)
+    # The elements of the format and the order of the steps.
     for pattern, to in ((r"<w:tab\s*/?>", "\t"), (r"<w:br\s*/?>|</w:p\s*>", "\n"), (r"<[^>]+>", " "), (r"[ \t]+\n", "\n"), (r"\n{3,}", "\n\n")):
         s = re.sub(pattern, to, s, flags=re.I)
     return s.strip()

@@ -111,3 +111,8 @@ def test_encryption_and_backup(spark):
         except ValueError:
             continue
         raise AssertionError("accepted")
+
+
+def test_tags_are_split(spark):
+    df = spark.createDataFrame([(" a, b ,,c",), ("",), (None,)], "t string")
+    assert [r.x for r in df.select(T.split_tags("t").alias("x")).collect()] == [["a", "b", "c"], [], []]

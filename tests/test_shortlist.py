@@ -16,5 +16,5 @@ def test_shortlist_of_all_files_equals_brute_force(spark, monkeypatch):
     s = unit @ unit.T
     np.fill_diagonal(s, -np.inf)
     want = {(ids[i], ids[j]) for i in range(len(x)) for j in np.argsort(-s[i])[: semantic.SHORTLIST]}
-    got = [(r.file_id, r.other) for r in R.QUERIES["centroid_shortlist_all"](spark, "").collect()]
+    got = [(r.file_id, r.other) for r in R.QUERIES["centroid_shortlist"](spark, "").collect()]
     assert len(got) == len(want) and set(got) == want
