@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm.hashing import U, mix, shingle_batch, slabs
 from corvane.operators.components import connected_components
-from corvane.session import hot_join, restage, stage
+from corvane.session import hot_join, restage, stage, unstage
 
 SLAB = 2_000_000
 BANDS, ROWS = 48, 4
@@ -89,6 +89,7 @@ def _features(k: int, min_tokens: int, bands: int, rows: int):
                     key = np.zeros(sig.shape[:2], U)
                     for j in range(rows):
                         key = mix(key * U(31) + sig[:, :, j])
+                    key = mix(key + np.arange(bands, dtype=U))  # a key says which band it is of
                 key = key.view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[lo:hi][keep]), pa.array(size[keep].astype(np.int32)), pa.array(s1[keep].view(np.int64)), pa.array(s2[keep].view(np.int64)),
@@ -136,20 +137,20 @@ def near_duplicates(documents: DataFrame, k: int = 5, threshold: float = 0.8, mi
     classes = stage(keys.groupBy(*alike).agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")))
     members = stage(hot_join(keys, classes, alike, "c", HOT).select("doc_id", "rep", "n"))
     reps = feats.select("doc_id", "n", "bands").join(members.where("doc_id <> rep").select("doc_id"), "doc_id", "left_anti")
-    entries = reps.select("doc_id", "n", F.posexplode("bands").alias("band", "key"))
+    entries = reps.select("doc_id", "n", F.explode("bands").alias("key"))
     done: list[DataFrame] = []
     for turn in range(ROUNDS + 1):
-        stars = entries.groupBy("band", "key").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("doc_id", "band").alias("o"), "doc_id", "n")).alias("c")).where("m > 1")
-        stars = stage(stars.select("band", "key", "m", F.col("c.doc_id").alias("centre"), F.col("c.n").alias("cn")))
-        spokes = hot_join(entries, stars, ["band", "key"], "m", HOT).where("doc_id <> centre")
-        spokes = stage(spokes.select("band", "key", "doc_id", "n", "cn", F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")))
+        stars = entries.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct(F.hash("doc_id", "key").alias("o"), "doc_id", "n")).alias("c")).where("m > 1")
+        stars = stage(stars.select("key", "m", F.col("c.doc_id").alias("centre"), F.col("c.n").alias("cn")))
+        spokes = hot_join(entries, stars, ["key"], "m", HOT).where("doc_id <> centre")
+        spokes = stage(spokes.select("key", "doc_id", "n", "cn", F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")))
         # Close texts have sizes close to each other.
         edges = spokes.where(F.least("n", "cn") >= F.greatest("n", "cn") * F.lit(PIVOT * threshold)).select("a", "b").distinct()
         seen = restage(done).select("a", "b") if done else None
-        done.append(stage(_verify(low, stage(edges.join(seen, ["a", "b"], "left_anti") if seen is not None else edges), k)))
+        done.append(_verify(low, stage(edges.join(seen, ["a", "b"], "left_anti") if seen is not None else edges), k))
         if turn < ROUNDS:
             near = restage(done).where(F.col("sim") >= threshold * PIVOT).select("a", "b")
-            entries = stage(spokes.join(near, ["a", "b"], "left_anti").select("doc_id", "n", "band", "key"))
+            entries = stage(spokes.join(near, ["a", "b"], "left_anti").select("doc_id", "n", "key"))
             if entries.isEmpty():
                 break
     first = restage(done)
@@ -186,7 +187,7 @@ def unique_ids(documents: DataFrame) -> DataFrame:
 def _verify(low: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     """Exact Jaccard similarity of candidate pairs, from the whole texts."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = stage(low.join(ids, "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id bigint, sh array<bigint>"))
+    sets = whole = stage(low.join(ids, "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id bigint, sh array<bigint>"))
     # A centre may have a third of all texts as leaves, on either side.
     deg = pairs.select(F.explode(F.array(F.struct(F.lit(0).alias("s"), F.col("a").alias("doc_id")), F.struct(F.lit(1).alias("s"), F.col("b").alias("doc_id")))).alias("e")).groupBy("e.doc_id").agg(
         F.sum(1 - F.col("e.s")).alias("da"), F.sum("e.s").alias("db"))
@@ -194,8 +195,10 @@ def _verify(low: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     met = hot_join(pairs, sets.where("da > 0").select(F.col("doc_id").alias("a"), F.col("sh").alias("sa"), "da"), ["a"], "da", HOT)
     met = hot_join(met, sets.where("db > 0").select(F.col("doc_id").alias("b"), F.col("sh").alias("sb"), "db"), ["b"], "db", HOT)
     inter = F.size(F.array_intersect("sa", "sb"))
-    return met.select(
-        "a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), (inter / (F.size("sa") + F.size("sb") - inter)).alias("sim"))
+    out = stage(met.select(
+        "a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), (inter / (F.size("sa") + F.size("sb") - inter)).alias("sim")))
+    unstage(whole)
+    return out
 
 
 def expand_pairs(found: NearDuplicates) -> DataFrame:
