@@ -216,7 +216,7 @@ def capped_texts(spark, d):
     return table(spark, d, "documents").select("doc_id", T.cap_text("text").alias("t")).select("doc_id", F.length("t.text").cast("bigint").alias("kept"), "t.truncated")
 
 
-@query()
+@query(r"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '<[^>]+>', ' ', 'g'), '[ \t]+\n', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^[ \t\n\x0b\f\r]+|[ \t\n\x0b\f\r]+$', '', 'g')) AS h FROM documents""")
 def page_text(spark, d):
     """Texts wrapped as WordprocessingML and read back."""
     x = F.concat(F.lit("<w:p>"), F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("\n"), F.lit("<w:br/>")), F.lit("</w:p>"))
