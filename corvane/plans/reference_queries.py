@@ -483,12 +483,29 @@ def centroid_shortlist(spark, d):
     return semantic.shortlist(profiles, blocks=max(1, -(-profiles.count() // semantic.BLOCK))).select("file_id", "other", F.round("similarity", 6).alias("similarity"))
 
 
-@query()
+_AT = "len(list_filter(acc, lambda c: c[-1].j < x[1][1].j))"  # chains that the match may follow
+_SCORED_PAIRS = _REPS.rstrip().replace("WITH", "WITH RECURSIVE", 1) + f""",
+e AS (SELECT file_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS dd FROM reps),
+m AS (SELECT file_id, list(x ORDER BY dd) AS v FROM (SELECT file_id, dd, avg(x) AS x FROM e GROUP BY ALL) GROUP BY file_id),
+sl AS (SELECT a.file_id AS x, b.file_id AS y FROM m a JOIN m b ON a.file_id <> b.file_id
+  QUALIFY row_number() OVER (PARTITION BY a.file_id ORDER BY round(list_cosine_similarity(a.v, b.v), 12) DESC, b.file_id) <= 8),
+pr AS (SELECT DISTINCT least(x, y) AS a, greatest(x, y) AS b FROM sl), nn AS (SELECT file_id, count(*) AS n FROM reps GROUP BY 1),
+sm AS (SELECT a, b, l.pos AS i, r.pos AS j, round(coalesce(nullif(list_cosine_similarity(l.embedding, r.embedding), 'nan'::DOUBLE), 0), 12) AS s FROM pr JOIN reps l ON l.file_id = a JOIN reps r ON r.file_id = b),
+ls AS (SELECT a, b, list([{{'i': i, 'j': j, 's': s}}] ORDER BY s DESC, i, j) AS l FROM sm WHERE s >= 0.75 GROUP BY a, b),
+gr AS (SELECT a, b, list_sort(list_reduce(l, lambda acc, x: CASE WHEN len(list_filter(acc, lambda k: k.i = x[1].i OR k.j = x[1].j)) > 0 THEN acc ELSE list_concat(acc, x) END)) AS k FROM ls),
+ch AS (SELECT a, b, list_reduce(list_transform(k, lambda q: [[q]]), lambda acc, x: list_concat(list_concat(acc[1:{_AT}], [CASE WHEN {_AT} > 0 THEN list_concat(acc[{_AT}], x[1]) ELSE x[1] END]), acc[{_AT} + 2:])) AS c FROM gr),
+sc AS (SELECT a, b, least(p.n, q.n) AS small, c[-1] AS run FROM ch JOIN nn p ON p.file_id = a JOIN nn q ON q.file_id = b),
+ps AS (SELECT a, b, least(1.0::DOUBLE, greatest(0.0::DOUBLE, len(run)::DOUBLE / small * (list_sum(list_transform(run, lambda q: q.s)) / len(run)))) AS similarity FROM sc WHERE len(run) >= least(2, small))"""
+
+
+@query(_SCORED_PAIRS + """, ed AS (SELECT a, b FROM ps WHERE similarity >= 0.9 UNION SELECT b, a FROM ps WHERE similarity >= 0.9),
+r AS (SELECT a, b FROM ed UNION SELECT r.a, ed.b FROM r JOIN ed ON r.b = ed.a), c AS (SELECT a AS file_id, min(b) AS component FROM r GROUP BY a)
+SELECT c.component, c.file_id, round(w.best, 6) AS best FROM c JOIN (SELECT component, greatest(0.9::DOUBLE, max(similarity)) AS best FROM ps JOIN c ON c.file_id = ps.a WHERE similarity >= 0.9 GROUP BY component) w USING (component)""")
 def semantic_duplicates(spark, d):
     return semantic.semantic_groups(_latest_vectors(spark, d), 0.9, None).select("component", "file_id", F.round("best_similarity", 6).alias("best"))
 
 
-@query()
+@query(_SCORED_PAIRS + " SELECT a, b, round(similarity, 6) AS similarity FROM ps WHERE similarity < 0.9 AND similarity >= 0.9 - 0.05")
 def uncertain_pairs(spark, d):
     return semantic.uncertain_pairs(_latest_vectors(spark, d), 0.9, None).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
