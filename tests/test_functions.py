@@ -95,7 +95,7 @@ def test_buckets(spark):
             p = [sum(v[i] * sg for i, sg in plane) for plane in bits]
             sig, low = sum(1 << b for b, x in enumerate(p) if x >= 0), min(range(12), key=lambda b: abs(p[b]))
             want += [f"{V.INDEX_VERSION}:a%20b:{t}:{sig}", f"{V.INDEX_VERSION}:a%20b:{t}:{sig ^ (1 << low)}"]
-        assert keys == want == V.query_keys(v, s)
+        assert keys == want == V.query_keys(v, s, 2) and set(want) < set(V.query_keys(v, s)) and len(set(V.query_keys(v, s))) == 12 * V.PROBES
     assert got[5:] == [[], [], []]
 
 
