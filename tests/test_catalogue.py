@@ -169,3 +169,15 @@ def test_backup_rules(spark):
     v = spark.createDataFrame([("user::a#0", "a", 0, "t", [1.0], None, 1), ("user::q#0", "q", 0, "t", [1.0, math.nan], None, 1)], "id string, file_id string, idx int, text string, embedding array<double>, corpus_key string, dimension int")
     got = {r.rule: r.violations for r in validation.backup_violations(d, v).collect() if r.violations}
     assert got == {"document source unknown": 1, "document char_count wrong": 1, "document id repeated": 1, "vector length wrong": 1, "vector not finite": 1, "vector without document": 1}
+
+
+def test_components_of_a_long_path_with_its_smallest_node_at_the_far_end(spark, monkeypatch):
+    """2 - 3 - ... - 150 - 1: the smallest label must not walk back node by node. In one task, and in rounds of contraction."""
+    path = [*range(2, 151), 1]
+    edges = [*zip(path, path[1:]), (200, 900), (900, 200), *[(900, i) for i in range(201, 260)], (7, 7), (None, 1)]
+    e = spark.createDataFrame(edges, "a int, b int")
+    want = {i: 1 for i in path} | {i: 200 for i in [*range(200, 260), 900]}
+    assert {r.node: r.component for r in components.connected_components(e).collect()} == want
+    monkeypatch.setattr(components, "LOCAL", 100)
+    monkeypatch.setattr(components, "HOT", 20)
+    assert {r.node: r.component for r in components.connected_components(e).collect()} == want
