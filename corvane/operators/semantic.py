@@ -1,9 +1,10 @@
 """Semantic near-duplicates of files from their chunk vectors, and folder suggestions.
 
 Centroids shortlist pairs, then chunks are matched one to one and in order. The
-shortlist is exact: all profiles are compared with all profiles, in pairs of blocks,
-and a task never holds more than two blocks. Its work grows with the square of the
-number of files; the similarity search of problem 1 is the operator for large collections.
+shortlist is exact: all profiles are compared with all profiles. A task holds one block of
+askers and reads the profiles in slices from the shared folder, where they are
+written once, so disk grows with the number of files and work with its square; the
+similarity search of problem 1 is the operator for large collections.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from bisect import bisect_left
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,10 +24,13 @@ from corvane.functions import text as T
 from corvane.functions import vectors as V
 from corvane.functions.catalog import millis
 from corvane.operators.components import connected_components
-from corvane.session import stage
+from corvane.session import batches_of, stage
 
 PROFILE, SHORTLIST, MAX_FILES, MARGIN = 12, 8, 500, 0.05
-BLOCK = 2048
+BLOCK = 4096
+SLICE = 4096  #: profiles read at a time
+PAIRS = 25_000  #: pairs scored by a task, which holds the chunks of their files
+CLOSE = 1e-5  #: more than single precision errs in the product of two unit vectors
 
 
 def representatives(vectors: DataFrame, count: int = PROFILE) -> DataFrame:
@@ -36,45 +42,82 @@ def representatives(vectors: DataFrame, count: int = PROFILE) -> DataFrame:
     return ranked.withColumn("pos", pos.cast("int") - 1).where("pos >= 0").select("file_id", "pos", "idx", "embedding")
 
 
+def _mean(rows, n):
+    """Normalised mean of ``n`` vectors, added one after the other."""
+    double = lambda v: F.transform(v, lambda x: x.cast("double"))
+    total = F.aggregate(F.slice(rows, 2, 1 << 30), double(F.get(rows, F.lit(0))), lambda acc, r: F.zip_with(acc, double(r), lambda x, y: x + y))
+    return V.normalize(F.transform(total, lambda x: x / n))
+
+
 def centroids(reps: DataFrame) -> DataFrame:
-    """``file_id, centroid``: normalised mean of a file's representative chunks."""
-    mean = reps.select("file_id", F.posexplode("embedding").alias("d", "x")).groupBy("file_id", "d").agg(F.avg("x").alias("x"))
-    vec = mean.groupBy("file_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias("v"))
-    return vec.select("file_id", V.normalize(F.col("v")).alias("centroid"))
+    """``file_id, centroid``: normalised mean of a file's representative chunks, added in order, so equal profiles have equal centroids."""
+    rows = reps.groupBy("file_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "embedding"))), lambda s: s["embedding"]).alias("l"))
+    return rows.select("file_id", _mean(F.col("l"), F.size("l")).alias("centroid"))
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
 def shortlist(profiles: DataFrame, top: int = SHORTLIST, blocks: int = 1) -> DataFrame:
     """``file_id, other, similarity``: per profile its ``top`` nearest others by centroid cosine (ties: smaller id).
 
-    Exact, so every profile meets every other: profiles are cut into ``blocks`` by hash,
-    a task holds one block of askers and one of answers, and the answers' best are merged.
+    Exact, so every profile meets every other. Equal centroids are one class, with its ``top`` + 1
+    smallest ids; askers are cut into ``blocks``, and a task reads all classes in slices. Products in
+    single precision rule out what cannot be near enough, the rest is taken in double.
     """
-    own = F.pmod(F.xxhash64("file_id"), F.lit(blocks)).cast("int")
-    each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    data = profiles.select("file_id", "centroid", each.alias("asker"), own.alias("answer"), F.lit(True).alias("data"))
-    ask = profiles.select("file_id", "centroid", own.alias("asker"), each.alias("answer"), F.lit(False).alias("data"))
-
-    def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        d, q = pdf[pdf["data"]].sort_values("file_id"), pdf[~pdf["data"]]
-        if not len(d) or not len(q):
-            return pd.DataFrame({"file_id": [], "other": [], "similarity": []}).astype({"file_id": object, "other": object, "similarity": float})
-        ids, names = d["file_id"].to_numpy(), q["file_id"].to_numpy()
-        s = np.round(np.stack(q["centroid"].to_list()) @ np.stack(d["centroid"].to_list()).T, 12)
-        s[names[:, None] == ids] = -np.inf
-        near = np.argsort(-s, axis=1, kind="stable")[:, :top]
-        score = np.take_along_axis(s, near, 1)
-        i, j = np.nonzero(score > -np.inf)
-        return pd.DataFrame({"file_id": names[i], "other": ids[near[i, j]], "similarity": score[i, j]})
-
-    got = data.unionByName(ask).groupBy("asker", "answer").applyInPandas(best, "file_id string, other string, similarity double")
-    r = F.row_number().over(W.partitionBy("file_id").orderBy(F.desc("similarity"), "other"))
-    return got.withColumn("r", r).where(F.col("r") <= top).drop("r")
+    grouped = profiles.groupBy("centroid").agg(F.array_sort(F.collect_list("file_id")).alias("ids"))
+    classes = stage(grouped.select(F.col("ids")[0].alias("rep"), "centroid", F.slice("ids", 1, top + 1).alias("heads"), "ids"))
+    files, keep = classes.inputFiles(), top + 1
+
+    def merged(best, more):
+        best = pd.concat([best, *more], ignore_index=True).sort_values(["i", "s", "id"], ascending=[True, False, True])
+        return best[best.groupby("i").cumcount() < keep]
+
+    def near(batches):
+        mine = [b for b in batches if b.num_rows]
+        if not mine:
+            return
+        q = np.concatenate([_matrix(b.column(1)) for b in mine])
+        q32, least = q.astype(np.float32), np.full(len(q), -np.inf)
+        best, more = pd.DataFrame({"i": np.zeros(0, int), "s": np.zeros(0), "id": np.zeros(0, object)}), []
+        for b in batches_of(files, ["centroid", "heads"], SLICE):
+            d, heads = _matrix(b.column(0)), b.column(1)
+            s = q32 @ d.astype(np.float32).T
+            if len(d) >= keep and np.isinf(least).any():
+                least = np.maximum(least, np.partition(s, -keep, axis=1)[:, -keep] - CLOSE)
+            i, j = np.divmod(np.flatnonzero(s >= (least - CLOSE)[:, None].astype(np.float32)), len(d))
+            if not len(i):
+                continue
+            exact = np.concatenate([np.round(np.einsum("ij,ij->i", q[i[k : k + 100_000]], d[j[k : k + 100_000]]), 12) for k in range(0, len(i), 100_000)])
+            ok = exact >= least[i]
+            i, j, exact = i[ok], j[ok], exact[ok]
+            sizes = np.diff(heads.offsets.to_numpy())[j]
+            ids = heads.take(pa.array(j)).flatten().to_numpy(zero_copy_only=False)
+            more.append(pd.DataFrame({"i": np.repeat(i, sizes), "s": np.repeat(exact, sizes), "id": ids}))
+            if sum(map(len, more)) > len(q) // 2:
+                best, more = merged(best, more), []
+                full = best.groupby("i")["s"].agg(["size", "min"])
+                full = full[full["size"] == keep]
+                least[full.index] = full["min"]
+        best = merged(best, more)
+        reps = np.concatenate([b.column(0).to_numpy(zero_copy_only=False) for b in mine])
+        ends = np.searchsorted(best["i"].to_numpy(), np.arange(len(q) + 1)).astype(np.int32)
+        found = pa.StructArray.from_arrays([pa.array(best["id"], pa.string()), pa.array(best["s"], pa.float64())], ["other", "similarity"])
+        yield pa.RecordBatch.from_arrays([pa.array(reps, pa.string()), pa.ListArray.from_arrays(pa.array(ends), found)], ["rep", "best"])
+
+    got = classes.select("rep", "centroid").repartition(blocks).mapInArrow(near, "rep string, best array<struct<other:string,similarity:double>>")
+    each = stage(got).join(classes.select("rep", "ids"), "rep").select(F.explode("ids").alias("file_id"), "best")
+    others = F.slice(F.filter("best", lambda x: x["other"] != F.col("file_id")), 1, top)
+    return each.select("file_id", F.explode(others).alias("o")).select("file_id", "o.other", "o.similarity")
 
 
 def ordered_overlap(left: np.ndarray, right: np.ndarray, threshold: float) -> float | None:
     """Score of two chunk profiles: greedy one-to-one matches, longest in-order run, coverage times mean similarity."""
     norm = lambda m: m / np.maximum(np.sqrt((m**2).sum(1)), 1e-300)[:, None]
     sim = norm(left) @ norm(right).T
+    if sim.max(initial=-1.0) < max(0.55, threshold - 0.15):
+        return None
     near = [(-round(float(sim[i, j]), 12), i, j) for i, j in zip(*np.nonzero(sim >= max(0.55, threshold - 0.15)))]
     rows, cols, kept = set(), set(), []
     for s, i, j in sorted(near):
@@ -106,20 +149,33 @@ def pair_scores(vectors: DataFrame, threshold: float = 0.9, max_files: int | Non
     None compares all. Needs valid vectors of one dimension; one row per id.
     """
     reps = representatives(vectors)
-    files = reps.select("file_id").distinct().orderBy("file_id")
-    reps = stage(reps.join(files.limit(max_files) if max_files is not None else files, "file_id", "left_semi"))
-    cents = stage(centroids(reps))
+    if max_files is not None:
+        files = reps.select("file_id").distinct().orderBy("file_id").limit(max_files)
+        reps = reps.join(files, "file_id", "left_semi")
+    whole = reps.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("pos", "embedding"))).alias("l"))
+    whole = stage(whole.select("file_id", F.size("l").alias("n"), F.flatten(F.transform("l", lambda r: F.transform(r["embedding"], lambda x: x.cast("double")))).alias("flat")))
+    width = (F.size("flat") / F.col("n")).cast("int")
+    rows = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda p: F.slice("flat", p * width + 1, width))
+    cents = stage(whole.select("file_id", _mean(rows, F.col("n")).alias("centroid")))
     blocks = max(1, math.ceil(cents.count() / BLOCK))
-    pairs = shortlist(cents, blocks=blocks).select(F.least("file_id", "other").alias("a"), F.greatest("file_id", "other").alias("b")).distinct()
-    whole = reps.groupBy("file_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "embedding"))), lambda s: s["embedding"]).alias("chunks"))
-    joined = pairs.join(whole.select(F.col("file_id").alias("a"), F.col("chunks").alias("ca")), "a").join(whole.select(F.col("file_id").alias("b"), F.col("chunks").alias("cb")), "b")
+    pairs = stage(shortlist(cents, blocks=blocks).select(F.least("file_id", "other").alias("a"), F.greatest("file_id", "other").alias("b")).distinct())
+    stored = whole.inputFiles()
 
     def score(batches):
-        for pdf in batches:
-            s = [ordered_overlap(np.stack(x), np.stack(y), threshold) for x, y in zip(pdf["ca"], pdf["cb"])]
-            yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "similarity": pd.Series(s, dtype=float)})
-
-    return joined.mapInPandas(score, "a string, b string, similarity double").where("similarity is not null and not isnan(similarity)")
+        mine = [b for b in batches if b.num_rows]
+        if not mine:
+            return
+        a, b = (pa.concat_arrays([x.column(k) for x in mine]) for k in (0, 1))
+        need, chunks = pa.compute.unique(pa.concat_arrays([a, b])), {}
+        for t in batches_of(stored, ["file_id", "n", "flat"], SLICE):
+            t = t.filter(pa.compute.is_in(t.column(0), value_set=need))
+            for f, n, v in zip(t.column(0).to_pylist(), t.column(1).to_pylist(), t.column(2)):
+                chunks[f] = v.values.to_numpy(zero_copy_only=False).reshape(n, -1).copy()
+        s = [ordered_overlap(chunks[x], chunks[y], threshold) for x, y in zip(a.to_pylist(), b.to_pylist())]
+        yield pa.RecordBatch.from_arrays([a, b, pa.array(s, pa.float64())], ["a", "b", "similarity"])
+
+    spread = pairs.repartition(max(1, math.ceil(pairs.count() / PAIRS)), "a")
+    return spread.mapInArrow(score, "a string, b string, similarity double").where("similarity is not null and not isnan(similarity)")
 
 
 def semantic_groups(vectors: DataFrame, threshold: float = 0.9, max_files: int | None = MAX_FILES) -> DataFrame:

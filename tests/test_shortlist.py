@@ -18,3 +18,17 @@ def test_shortlist_of_all_files_equals_brute_force(spark, monkeypatch):
     want = {(ids[i], ids[j]) for i in range(len(x)) for j in np.argsort(-s[i])[: semantic.SHORTLIST]}
     got = [(r.file_id, r.other) for r in R.QUERIES["centroid_shortlist"](spark, "").collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+def test_shortlist_writes_no_profile_twice_per_block(spark):
+    """Before, a profile was shuffled once for every block; equal profiles tie by id, also across slices."""
+    x = np.repeat(np.random.default_rng(5).normal(size=(40, 4)), 15, axis=0)
+    ids = [f"f{i:03d}" for i in np.random.default_rng(6).permutation(len(x))]
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    got = semantic.shortlist(spark.createDataFrame(list(zip(ids, unit.tolist())), "file_id string, centroid array<double>"), blocks=6)
+    assert "asker" not in got._jdf.queryExecution().toString()
+    near = {}
+    for r in got.collect():
+        near.setdefault(r.file_id, set()).add(r.other)
+    want = {f: set(sorted((g for g, u in zip(ids, unit) if u is not None and (u == v).all() and g != f))[: semantic.SHORTLIST]) for f, v in zip(ids, unit)}
+    assert near == want
