@@ -110,3 +110,29 @@ def test_metrics(spark):
     exp = spark.createDataFrame([(1, "a"), (1, "x"), (2, "c"), (3, "q")], "query_id int, item string")
     r = search.retrieval_metrics(res, exp).first()
     assert abs(r.mrr - 0.5) < 1e-9 and abs(r.recall_at_10 - 0.5) < 1e-9 and abs(r.precision_at_5 - (0.2 + 0.2) / 3) < 1e-9
+
+
+def test_bucket_recall_equals_brute_force_without_pairs(spark):
+    """Two corpora, one small enough to be scanned, repeated vectors; queries and vectors are never joined in pairs."""
+    import numpy as np
+
+    from corvane.functions import vectors as V
+
+    x = np.random.default_rng(4).normal(size=(700, 16))
+    x[300:420] = x[:120]
+    rows = [(f"v{i:04d}", "big" if i < 620 else "small", v.tolist()) for i, v in enumerate(x)]
+    v = spark.createDataFrame(rows, "id string, corpus_key string, embedding array<double>")
+    got = search.bucket_recall(v, v.where("cast(substr(id, 2) as int) % 9 = 0"), 16, probes=20)
+    assert "zip_with" not in got._jdf.queryExecution().toString()
+    filed, asked = V.signatures(x), V.probes(x, 20)
+    p5, recall, rr, n = [], [], [], 0
+    for i in range(0, 700, 9):
+        others = [j for j in range(700) if j != i and rows[j][1] == rows[i][1]]
+        s = {j: sum(float(a) * float(b) for a, b in zip(x[i], x[j])) / (np.sqrt(sum(a * a for a in x[i].tolist())) * np.sqrt(sum(a * a for a in x[j].tolist()))) for j in others}
+        order = sorted(others, key=lambda j: (-s[j], j))
+        met = [j for j in order if rows[i][1] == "small" or any(np.isin(filed[j, t], asked[i, t]).any() for t in range(V.TABLES))][:10]
+        hits = [j in order[:10] for j in met]
+        p5.append(sum(hits[:5]) / 5), recall.append(sum(hits) / 10), rr.append(1 / (hits.index(True) + 1) if any(hits) else 0)
+        n += 1
+    r = got.first()
+    assert r.queries == n and np.allclose([r.precision_at_5, r.recall_at_10, r.mrr], [np.mean(p5), np.mean(recall), np.mean(rr)]) and r.recall_at_10 < 1
