@@ -176,6 +176,23 @@ def descendants(resolved: DataFrame) -> DataFrame:
     ).where("ancestor_id <> descendant_id").select("ancestor_id", "descendant_id", (F.col("depth") - F.col("at")).alias("distance"))
 
 
+def all_descendants(folders: DataFrame) -> DataFrame:
+    """``ancestor_id, descendant_id, distance`` of every pair on one branch, also below loops.
+
+    Loops are cut open: each of their members becomes the top of the tree that hangs on it, so
+    the folders below it have ancestors up to that member. On a loop nothing is above anything.
+    """
+    on_loop = loop_members(folders)
+    cut = folders.join(on_loop, "id", "left").select("id", "name", F.when(F.col("on_cycle").isNull(), F.col("parent_ids")).alias("parent_ids"))
+    return descendants(resolve_hierarchy(cut))
+
+
+def loop_members(folders: DataFrame) -> DataFrame:
+    """``id, on_cycle`` of the members of loops."""
+    nodes = stage(_salted(_first_rows(folders)))
+    return stage(_expand(_contract(nodes, False)).where("on_cycle").select("id", "on_cycle"))
+
+
 def cycles(folders: DataFrame) -> DataFrame:
     """``folder_id, cycle_id`` of every folder on or below a loop of first parents."""
     nodes = stage(_salted(_first_rows(folders)))

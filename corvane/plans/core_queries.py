@@ -22,6 +22,11 @@ def p3_descendants(spark, d):
     return hierarchy.descendants(r).groupBy("ancestor_id").agg(F.count("*").alias("descendants"), F.max("distance").alias("height"))
 
 
+def p3_pairs(spark, d):
+    """Every folder above every other, in rows, with the trees below loops."""
+    return hierarchy.all_descendants(table(spark, d, "folders"))
+
+
 def p7_found(spark, d):
     return changefeed.live_changes(table(spark, d, "drive_changes"))
 
@@ -79,6 +84,10 @@ SQL = {
 FROM links l JOIN fin f ON f.node = l.id LEFT JOIN cyc c ON c.node = l.id, (SELECT map(list(id), list(name)) AS m FROM links) n""",
     "p3_descendants": _LINKS + """SELECT u.cur AS ancestor_id, count(*) AS descendants, CAST(max(len(u.seen) - 1) AS BIGINT) AS height
 FROM up u LEFT JOIN cyc c ON c.node = u.node WHERE c.node IS NULL AND u.cur <> u.node GROUP BY u.cur""",
+    "p3_pairs": _LINKS + """, lp AS (SELECT DISTINCT f.node FROM fin f JOIN links l ON l.id = f.node WHERE f.back = f.node)
+SELECT u.cur AS ancestor_id, u.node AS descendant_id, CAST(len(u.seen) - 1 AS BIGINT) AS distance FROM up u
+WHERE u.cur <> u.node AND NOT EXISTS (SELECT 1 FROM lp WHERE lp.node = u.node)
+  AND NOT EXISTS (SELECT 1 FROM lp WHERE lp.node = u.seen[-2])""",
     "p7_found": _LAST + """SELECT file_id, seq FROM ops
 QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY seq DESC) = 1 AND kind IN ('D', 'F')""",
     "p7_files": _LAST + """,
@@ -110,4 +119,4 @@ SELECT CAST(count(*) FILTER (kind IN ('D', 'F') AND NOT was) AS BIGINT) AS added
   CAST(count(*) FILTER (kind = 'R' AND was) AS BIGINT) AS removed FROM e""",
 }
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_hierarchy, p3_descendants, p7_found, p7_files, p7_folders, p7_counters)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_hierarchy, p3_descendants, p3_pairs, p7_found, p7_files, p7_folders, p7_counters)}

@@ -57,3 +57,9 @@ def test_a_long_loop_carries_no_paths(spark):
 
 def test_empty(spark):
     assert cycles(frame(spark, [])).collect() == []
+
+
+def test_descendants_below_a_loop(spark):
+    f = frame(spark, [("r", "R", None), ("s", "S", ["r"]), ("x", "X", ["y"]), ("y", "Y", ["x"]), ("t", "T", ["x"]), ("u", "U", ["t"]), ("z", "Z", ["z"]), ("w", "W", ["z"])])
+    got = {tuple(r) for r in hierarchy.all_descendants(f).select("ancestor_id", "descendant_id", "distance").collect()}
+    assert got == {("r", "s", 1), ("x", "t", 1), ("t", "u", 1), ("x", "u", 2), ("z", "w", 1)}
