@@ -32,3 +32,14 @@ def test_shortlist_writes_no_profile_twice_per_block(spark):
         near.setdefault(r.file_id, set()).add(r.other)
     want = {f: set(sorted((g for g, u in zip(ids, unit) if u is not None and (u == v).all() and g != f))[: semantic.SHORTLIST]) for f, v in zip(ids, unit)}
     assert near == want
+
+
+def test_pairs_are_scored_without_shipping_chunks(spark):
+    """Before, both chunk lists went through a shuffle with every pair."""
+    x = np.random.default_rng(8).normal(size=(12, 3, 4))
+    x[6:] = x[:6] + 1e-3
+    rows = [(f"f{i}#{k}", f"f{i:02d}", k, v.tolist()) for i, file in enumerate(x) for k, v in enumerate(file)]
+    got = semantic.pair_scores(spark.createDataFrame(rows, "id string, file_id string, idx int, embedding array<double>"), 0.9, None)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    high = {(r.a, r.b) for r in got.where("similarity > 0.99").collect()}
+    assert {(f"f{i:02d}", f"f{i + 6:02d}") for i in range(6)} <= high
